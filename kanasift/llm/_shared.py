@@ -69,3 +69,18 @@ def join_by_key(left: DataFrame, right: DataFrame, key: str, counts: DataFrame,
     cold = left.join(F.broadcast(keys), key, "left_anti").join(right, key, how)
     warm = left.join(F.broadcast(keys), key, "left_semi").join(F.broadcast(small), key, how)
     return cold.unionByName(warm.select(cold.columns))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, total: int, spread: str) -> DataFrame:
+    """left inner-joined to right on keys, where left may hold a third of its rows under one key.
+
+    counts has keys and __n, left's rows of each key of right; total is left's rows. Keys over total / HOT_KEYS
+    rows are few at any size, so they are broadcast: left's rows of them get one of several salts by the column
+    `spread`, and right's rows of them are repeated for each salt, twice HOT_KEYS salts in all at most.
+    """
+    share = max(1, total // HOT_KEYS)
+    hot = counts.where(F.col("__n") > share).select(*keys, F.ceil(F.col("__n") / share).cast("int").alias("__salts"))
+    hot = F.broadcast(written(hot, "hot"))
+    one = left.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(3), spread), F.col("__salts")))).drop("__salts")
+    two = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return one.withColumn("__salt", F.col("__salt").cast("int")).join(two, [*keys, "__salt"]).drop("__salt")
