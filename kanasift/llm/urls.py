@@ -27,7 +27,7 @@ def keys_of(host: Column, url: Column) -> Column:
     """The keys that can decide a URL, most specific last: its host's suffixes from two labels on, its host, host/a, host/a/b."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.least(F.lit(LABELS), n), F.least(F.lit(2), n)), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    suffixes = F.transform(F.sequence(F.least(F.lit(2), n), F.least(F.lit(LABELS), n)), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     paths = F.transform(F.sequence(F.lit(1), F.lit(SEGMENTS)), lambda k: F.when(F.size(parts) >= k, F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))))
