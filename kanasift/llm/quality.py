@@ -29,27 +29,39 @@ def base_figures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     more = ["__row"] if "__row" in docs.columns else []
     made = docs.select("doc_id", "text", *more, words_of(F.col("text")).alias("__w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"))
-    windows = F.transform(F.arrays_zip(F.col("__w").alias("a"), F.slice("__w", 2, F.greatest(F.size("__w"), F.lit(1))).alias("b"), F.slice("__w", 3, F.greatest(F.size("__w"), F.lit(1))).alias("c")), lambda x, i: F.struct(F.concat_ws(" ", x["a"], x["b"], x["c"]).alias("w"), i.alias("i")))
-    made = made.select("doc_id", "text", *more, "__w", "__lines", F.when(F.size("__w") < 3, F.array().cast("array<struct<w:string,i:int>>")).otherwise(F.sort_array(F.slice(windows, 1, F.greatest(F.size("__w") - 2, F.lit(0))))).alias("__s"))
-    # Neighbours in the sorted windows are equal where a window is found twice or more.
-    pairs = F.transform(F.arrays_zip(F.col("__s").alias("x"), F.concat(F.array(F.lit(None).cast("struct<w:string,i:int>")), F.col("__s")).alias("before"), F.slice("__s", 2, F.greatest(F.size("__s"), F.lit(1))).alias("after")), lambda p: F.when((p["x"]["w"] == p["before"]["w"]) | (p["x"]["w"] == p["after"]["w"]), p["x"]["i"]))
-    made = made.select("doc_id", "text", *more, "__w", "__lines", F.array_sort(F.array_compact(pairs)).alias("__at"))
-    covered = F.aggregate(
-        "__at",
-        F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
-        lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")),
-        lambda s: s["n"].cast("long"),
-    )
-    plain = F.translate(text, " \t\n\x0b\f\r", "")
+    def let(x: Column, f) -> Column:
+        """f(x), with x computed once however often f reads it."""
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def later(x: Column, k: int) -> Column:
+        return F.slice(x, 1 + k, F.greatest(F.size(x), F.lit(1)))
+
+    def threes(x: Column, join) -> Column:
+        """join(a, b, c) over the windows of an array of three or more."""
+        n = F.greatest(F.size(x) - 2, F.lit(0))
+        return F.zip_with(F.zip_with(F.slice(x, 1, n), F.slice(x, 2, n), lambda a, b: join(a, b)), later(x, 2), lambda a, c: join(a, c))
+
+    # Hashes that all differ say that no window is repeated; only other texts' windows are spelt out and sorted.
+    hashes = F.when(F.size("__w") < 3, F.array().cast("array<bigint>")).otherwise(let(F.transform("__w", lambda w: F.xxhash64(w)), lambda h: threes(h, F.xxhash64)))
+    made = made.select("doc_id", "text", *more, "__w", "__lines", hashes.alias("__h"))
+
+    def covered(windows: Column) -> Column:
+        """Words that sorted (window, place) rows cover where the window has an equal neighbour."""
+        pairs = F.transform(F.arrays_zip(windows.alias("x"), F.concat(F.array(F.lit(None).cast("struct<w:string,i:int>")), windows).alias("before"), later(windows, 1).alias("after")), lambda p: F.when((p["x"]["w"] == p["before"]["w"]) | (p["x"]["w"] == p["after"]["w"]), p["x"]["i"]))
+        start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
+        return F.aggregate(F.array_sort(F.array_compact(pairs)), start, lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"].cast("long"))
+
+    spelt = F.transform(threes(F.col("__w"), lambda a, b: F.concat_ws(" ", a, b)), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    repeats = F.when(F.size(F.array_distinct("__h")) < F.size("__h"), let(F.sort_array(spelt), covered)).otherwise(F.lit(0).cast("long"))
     return made.select(
         "doc_id",
         "text",
         *more,
         F.size("__w").cast("long").alias("n_words"),
-        F.length(plain).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
+        repeats.alias("n_repeat_words"),
     )
 
 
