@@ -76,10 +76,8 @@ class Engine:
         self._parts = self._sent = None
 
     def add_user_dictionary(self, d: Dictionary) -> None:
-        lookup = self.parts.lookup
-        n = sum(1 for _ in lookup.first)
-        system_pos = len(d.pos) - len(_own_pos(d, lookup)) if n else len(d.pos)
-        lookup.add_user(d, system_pos, lambda k, surface: core.estimate_cost(self.parts, surface))
+        parts = self.parts
+        parts.lookup.add_user(d, parts.system_pos, lambda k, surface: core.estimate_cost(parts, surface))
         self._sent = None
 
     def broadcast(self):
@@ -243,13 +241,11 @@ class Engine:
         for place, w in enumerate(lookup.words):
             ids = w.a_split if mode == "A" else w.b_split
             if ids and not (len(ids) == 1 and lookup.place(ids[0]) == place):
-                at = 0
                 for n, (p, b, e) in enumerate(core.resplit(self.parts, place, 0, mode)):
                     u = lookup.words[p]
                     wid = lookup.ids[p]
                     one = len(ids) == 1
                     rows.append((_signed(lookup.ids[place]), n, None if one else b, None if one else e, u.pos_id, list(lookup.pos[u.pos_id]), u.normalized, lookup.dictionary_form(p), u.reading, wid >> 28, _signed(wid), list(u.synonyms)))
-                    at = e
         units = self.spark.createDataFrame(rows, "word_id int, u_n int, u_b int, u_e int, u_pos_id smallint, u_pos array<string>, u_norm string, u_form string, u_read string, u_dict int, u_word int, u_syn array<int>")
         x = tokens.join(F.broadcast(units), "word_id", "left")
         moved = F.col("u_b").isNotNull()
@@ -289,13 +285,5 @@ def _signed(wid: int) -> int:
     return wid - (1 << 32) if wid >> 31 else wid
 
 
-def _own_pos(d: Dictionary, lookup) -> list:
-    """The parts of speech of a user dictionary that come after the system's."""
-    k = 0
-    while k < min(len(d.pos), len(lookup.pos)) and d.pos[k] == lookup.pos[k]:
-        k += 1
-    return d.pos[k:]
-
-
 def categories_of(table: CharTable, text: str) -> list[int]:
     return [table.of(ch) for ch in text]

@@ -8,6 +8,7 @@ from operator import or_
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.numeral import normalize_numeral as _normalize
 
@@ -112,7 +113,7 @@ def top_terms(tokens: DataFrame, by: list[str], k: int) -> DataFrame:
     return n.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_numeral(numeral: pd.Series) -> pd.Series:
     """The plain decimal form of numerals in Arabic and kanji digits; null where it is none."""
     return numeral.map(_normalize, na_action="ignore")

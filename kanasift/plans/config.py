@@ -124,6 +124,8 @@ class Parts:
     providers: list
     rewriters: list
     allow_empty: bool = True
+    #: Parts of speech of the system dictionary, after which those of user dictionaries come.
+    system_pos: int = 0
 
 
 def _short(name: str) -> str:
@@ -207,7 +209,7 @@ def assemble(settings: Settings, system: Dictionary, users: list[Dictionary] = (
     name = settings.string("characterDefinitionFile")
     table = CharTable(definitions.read_categories(settings.anchor.text(name) if name else definitions.CATEGORIES_BY_DEFAULT))
     make = lambda kind: [_make(p, lookup) for p in settings.plugins(kind)]
-    parts = Parts(lookup, table, make("inputTextPlugin"), make("oovProviderPlugin"), make("pathRewritePlugin"), settings.bool("allowEmptyMorpheme", True))
+    parts = Parts(lookup, table, make("inputTextPlugin"), make("oovProviderPlugin"), make("pathRewritePlugin"), settings.bool("allowEmptyMorpheme", True), system_pos)
     if not parts.providers:
         raise ValueError("no provider of out-of-vocabulary words")
     for d in users:

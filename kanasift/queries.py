@@ -68,7 +68,7 @@ def parts(kind: str) -> Parts:
         lookup = Lookup.of(few)
         properties = definitions.read_properties(definitions.CATEGORIES_BY_DEFAULT)
         templates = definitions.read_templates(_LATIN, properties, lookup.pos_id)
-        return Parts(lookup, CharTable(definitions.read_categories(definitions.CATEGORIES_BY_DEFAULT)), [], [oov.Templates(properties, templates)], [])
+        return Parts(lookup, CharTable(definitions.read_categories(definitions.CATEGORIES_BY_DEFAULT)), [], [oov.Templates(properties, templates)], [], True, len(few.pos))
     raise ValueError(kind)
 
 
