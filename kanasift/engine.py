@@ -45,6 +45,28 @@ class Closed(RuntimeError):
     """The engine has been closed."""
 
 
+class Sent:
+    """An engine's parts in a broadcast, pickled by value so that plugins of a notebook or script can go along."""
+
+    _opened: dict[int, Parts] = {}
+
+    def __init__(self, spark: SparkSession, parts: Parts):
+        from pyspark import cloudpickle
+
+        self.broadcast = spark.sparkContext.broadcast(cloudpickle.dumps(parts))
+        self.key = id(self.broadcast), hash(self.broadcast.value)
+
+    @property
+    def value(self) -> Parts:
+        """The parts, opened once a worker."""
+        if self.key not in Sent._opened:
+            import pickle
+
+            Sent._opened.clear()
+            Sent._opened[self.key] = pickle.loads(self.broadcast.value)
+        return Sent._opened[self.key]
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -72,7 +94,7 @@ class Engine:
 
     def close(self) -> None:
         if self._sent is not None:
-            self._sent.unpersist()
+            self._sent.broadcast.unpersist()
         self._parts = self._sent = None
 
     def add_user_dictionary(self, d: Dictionary) -> None:
@@ -84,7 +106,7 @@ class Engine:
         """The parts as sent to tasks: a dictionary, whose size does not depend on the texts."""
         parts = self.parts
         if self._sent is None:
-            self._sent = self.spark.sparkContext.broadcast(parts)
+            self._sent = Sent(self.spark, parts)
         return self._sent
 
     # Tables of the dictionaries

@@ -126,7 +126,7 @@ def category_positions(df: DataFrame, ranges: DataFrame, text: str = "text") ->
     distinct code points, so the range join is as large as the alphabet and not as the texts.
     """
     chars = df.select(*[c for c in df.columns if c != text], F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "")).alias("at", "ch")).where("ch != ''")
-    code = F.when(F.octet_length("ch") > 0, F.conv(F.hex(F.encode("ch", "UTF-32BE")), 16, 10).cast("int"))
+    code = F.when(F.octet_length("ch") > 0, F.conv(F.hex(F.encode("ch", "utf-32")), 16, 10).cast("int"))
     chars = chars.withColumn("cp", code)
     known = chars.select("cp").distinct().join(F.broadcast(ranges), (F.col("cp") >= F.col("lo")) & (F.col("cp") <= F.col("hi")), "left")
     known = known.groupBy("cp").agg(F.coalesce(F.bit_or("cats"), F.lit(1)).alias("cats"))
