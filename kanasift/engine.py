@@ -203,6 +203,10 @@ class Engine:
 
         def per_text(parts, t):
             found = core.sentences(parts, t) if sentences else [s for s in [core.one_sentence(parts, t)] if s]
+            if names == ["is_oov"]:
+                for s in found:
+                    yield from zip(s.flags(mode))
+                return
             for i, s in enumerate(found):
                 for k, token in enumerate(s.tokens(mode)):
                     yield tuple(f(i, s, k, token, mode) for f in makers)

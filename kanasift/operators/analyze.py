@@ -86,6 +86,10 @@ class Sentence:
             out.append(Token(units[b], units[e], b, e, text[b:e], pos, lookup.pos[pos], lattice.normalized(x), lattice.dictionary_form(x), lattice.reading(x), x.oov, dict_of(wid) if wid >= 0 else -1, wid, synonyms, x.cost))
         return out
 
+    def flags(self, mode: str = "C") -> list[bool]:
+        """is_oov of each token, without the rest."""
+        return [x.oov for x in self.split(self.path, mode)]
+
     def path_cost(self) -> int:
         """The whole cost of the cheapest path, its ends included."""
         return self.lattice.eos.total

@@ -229,6 +229,8 @@ class Text:
 
 def utf16_offsets(text: str) -> list[int]:
     """UTF-16 index of each code point of a text and of its end."""
+    if not text or max(text) <= "\uffff":
+        return list(range(len(text) + 1))
     out, at = [0], 0
     for ch in text:
         at += 1 + (ch > "￿")

@@ -9,7 +9,7 @@ from typing import Any
 
 from ..operators import oov, paths
 from ..operators.text import CharTable, Normalize, Prolonged, Yomigana
-from ..sources import definitions, lexicon
+from ..sources import binary, definitions, lexicon
 from .dictionary import Dictionary, Lookup
 
 #: Settings whose entries are plugins: objects with a name under "class".
@@ -221,5 +221,13 @@ def dictionaries(spark, settings: Settings) -> tuple[Dictionary, list[Dictionary
     """The dictionaries that settings name by their folders, systemDict and userDict."""
     if not settings.string("systemDict"):
         raise ValueError("systemDict is missing")
-    load = lambda p: lexicon.load(spark, settings.anchor.resolve(p))
-    return load(settings.string("systemDict")), [load(p) for p in settings.strings("userDict")]
+    system = load_dictionary(spark, settings.anchor.resolve(settings.string("systemDict")))
+    return system, [load_dictionary(spark, settings.anchor.resolve(p), system) for p in settings.strings("userDict")]
+
+
+def load_dictionary(spark, path: str, system: Dictionary | None = None) -> Dictionary:
+    """A dictionary from its folder of tables, or from a compiled binary file."""
+    if os.path.isfile(path):
+        with open(path, "rb") as f:
+            return binary.read(f.read(), system)
+    return lexicon.load(spark, path)

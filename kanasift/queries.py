@@ -80,8 +80,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are fewer: analysis costs far more than moving a small table's texts."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return _spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
 
 def _derived(spark: SparkSession, sf_dir: str, texts) -> DataFrame:
