@@ -112,7 +112,8 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bucke
     """The rows of docs that score() keeps, with all their columns."""
     names = [f"__c{k}" for k in range(len(docs.columns))]
     carried = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("__row"))
-    kept = _judged(carried, labels, threshold, buckets).where("kept")
+    # The task's number is no constant, so the filter is not pushed below the figures, which would be made twice.
+    kept = _judged(carried, labels, threshold, buckets).select("__row", "kept", F.spark_partition_id().alias("__task")).where("kept and __task >= 0")
     return kept.select(*[F.col(f"__row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 

@@ -7,7 +7,7 @@ import re
 from array import array
 
 #: Words whose ids a worker remembers; forgotten all at once when full.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 SPECIAL = "<|endoftext|>"
 #: The byte-level pre-tokenizer's words, for texts of the letters that all Unicode versions agree on.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
