@@ -70,8 +70,10 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True,
         met = met.where(~(F.struct("id", "pos", "r1", "r2").eqNullSafe(F.col("first"))))
     gone = met.select("r1", "r2", "pos").groupBy("r1", "r2").agg(F.collect_set("pos").alias("__gone"))
     cols = [F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(names)]
-    rows = docs.select(F.struct(*cols).alias("__row"), F.col("text").alias("__text"), F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(7), "doc_id", "text").alias("r2"))
-    rows = rows.join(gone, ["r1", "r2"], "left").select("__row", "__text", F.split("__text", "\n").alias("__lines"), "__gone")
+    rows = docs.select(F.struct(*cols).alias("__row"), F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(7), "doc_id", "text").alias("r2"))
+    # Each text is dealt out once, inside its row.
+    was = F.col(f"__row.__c{names.index('text')}")
+    rows = rows.join(gone, ["r1", "r2"], "left").select("__row", was.alias("__text"), F.split(was, "\n").alias("__lines"), "__gone")
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     rows = rows.select("__row", "__text", "__lines", "__gone", F.when(F.col("__gone").isNotNull(), kept).alias("__kept"))
     text = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.get(F.col("__lines"), i)), "\n"))
