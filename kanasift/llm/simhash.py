@@ -205,7 +205,8 @@ def keep_first(docs: DataFrame, most: int = 2) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, once if its doc_id is repeated."""
     ids = near_duplicates(docs, most)
     first = written(ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__first")).agg(F.count("*").alias("__n")), "first")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
+    # The kept ids grow with the documents, so they are never broadcast, small tables included.
+    kept = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
     if first.where("__n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept
