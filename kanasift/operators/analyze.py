@@ -116,7 +116,8 @@ def spans(parts, text: Text, limit: int = LIMIT) -> list[tuple[int, int]]:
     """[begin, end) of the sentences of a normalized text; what has no end in it is the last one."""
     out, begin, n = [], 0, len(text.text)
     while begin < n:
-        length = first_end(text.text[begin:], limit, _crossing(parts, text, begin))
+        # One character more than are searched says that the text goes on.
+        length = first_end(text.text[begin : begin + limit + 1], limit, _crossing(parts, text, begin))
         if length <= 0:
             break
         end = begin + length
