@@ -9,8 +9,8 @@ from array import array
 #: Words whose ids a worker remembers; forgotten all at once when full.
 KNOWN_WORDS = 300_000
 SPECIAL = "<|endoftext|>"
-#: The byte-level pre-tokenizer's words, for texts of the letters that all Unicode versions agree on.
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The byte-level pre-tokenizer's words, for texts of the letters that all Unicode versions agree on; letters come first, as most words are such.
+_WORD = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters outside that range: control characters, numbers that are no digits, other scripts.
 _OTHER = re.compile("[^\t\n\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0391-\u03a1\u03a3-\u03ff\u0400-\u0482\u048a-\u052f\u2010-\u2027\u20ac]")
 _encoders: dict[str, Encoder] = {}
