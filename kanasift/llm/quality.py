@@ -8,6 +8,8 @@ log(trusted / raw), and it is kept if the score is no less than a fixed threshol
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,66 +67,62 @@ def base_figures(docs: DataFrame) -> DataFrame:
     )
 
 
-def features(text: Column) -> Column:
-    """Hashes of a text's tokens: runs of letters and digits, or of other signs, in lower case, repeats included."""
+def features(text: Column, buckets: int = BUCKETS) -> Column:
+    """Buckets of a text's tokens: runs of letters and digits, or of other signs, in lower case, repeats included."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]+"), F.lit(0))
-    return F.transform(tokens, lambda t: F.xxhash64(t))
-
+    return F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))
 
-def _buckets(hashes: Column, buckets: int) -> Column:
-    """Buckets of single tokens and of pairs, from the tokens' hashes (a column, read twice)."""
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    two = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
-    return F.concat(one, two)
 
+def _pairs(tokens: Column, buckets: int) -> Column:
+    """Buckets of neighbour pairs, from the tokens' buckets (a column, read twice)."""
+    n = F.size(tokens)
+    return F.zip_with(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(n, F.lit(1))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """One row (llr array<double>): log(trusted / raw) of each bucket, counts smoothed by one.
 
-    Raw counts cover all of docs; trusted counts cover the docs that labels (doc_id, quality) call good, of
-    which at most trusted_rows, the first by hash, are used. Each task sums its own counts by bucket before
-    they are dealt out, so a frequent word is no hot key. Without trusted documents all ratios are 0.
-    """
-    spark = docs.sparkSession
+def _ratios(made: DataFrame, labels: DataFrame, buckets: int, trusted_rows: int) -> list[float]:
+    """log(trusted / raw) of each bucket, counts smoothed by one; all 0 without trusted documents."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct().orderBy(F.xxhash64("__good"), "__good").limit(trusted_rows)
-    marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("__good"), "left")
-    marked = marked.select(F.col("__good").isNotNull().cast("long").alias("__g"), features(F.col("text")).alias("__h"))
-    grams = marked.select("__g", F.explode(_buckets(F.col("__h"), buckets)).alias("bucket"))
-    n = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("__g").alias("good")), "ngrams")
-    sums = n.agg(F.sum("raw"), F.sum("good")).first()
-    raw, trusted = float((sums[0] or 0) + buckets), float((sums[1] or 0) + buckets)
-    ratio = F.log((F.coalesce("good", F.lit(0)) + 1) / F.lit(trusted)) - F.log((F.coalesce("raw", F.lit(0)) + 1) / F.lit(raw)) if sums[1] else F.lit(0.0)
-    every = spark.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(n), "bucket", "left")
-    return every.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", ratio.alias("r")))), lambda x: x["r"]).alias("llr"))
+    marked = made.select("doc_id", "__u").join(F.broadcast(good), F.col("doc_id") == F.col("__good"), "left")
+    # Each task sums its own counts by bucket before they are dealt out, so a frequent word is no hot key.
+    grams = marked.select(F.col("__good").isNotNull().cast("long").alias("__g"), F.explode(F.concat("__u", _pairs(F.col("__u"), buckets))).alias("bucket"))
+    n = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("__g").alias("good")).collect()
+    raw, trusted = buckets + sum(r["raw"] for r in n), buckets + sum(r["good"] for r in n)
+    out = [log(1 / trusted) - log(1 / raw)] * buckets
+    for r in n:
+        out[r["bucket"]] = log((r["good"] + 1) / trusted) - log((r["raw"] + 1) / raw)
+    return out if trusted > buckets else [0.0] * buckets
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, text, the base figures, n_grams long, llr double, base_failed and kept booleans for each row of docs.
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+    """doc_id, the base figures, n_grams long, llr double, base_failed and kept booleans for each row of docs.
 
     base_failed: under 50 words, or over half of them in repeated windows. kept: not base_failed and llr at
     least threshold. A text without n-grams has llr 0. Empty tables give no rows, repeated rows are judged
-    each, other columns are ignored.
+    each, other columns are ignored. Raw counts cover all of docs; trusted counts cover those that labels
+    (doc_id, quality) call good, of which at most trusted_rows, the first by hash, are used.
+
+    Texts are gone through once: figures and tokens' buckets are a table, which is counted and then scored.
     """
-    return _judged(docs, labels, threshold, buckets)
+    return _judged(docs, labels, threshold, buckets, trusted_rows)
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """The rows of docs that score() keeps, with all their columns."""
     names = [f"__c{k}" for k in range(len(docs.columns))]
     carried = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("__row"))
     # The task's number is no constant, so the filter is not pushed below the figures, which would be made twice.
-    kept = _judged(carried, labels, threshold, buckets).select("__row", "kept", F.spark_partition_id().alias("__task")).where("kept and __task >= 0")
+    kept = _judged(carried, labels, threshold, buckets, trusted_rows).select("__row", "kept", F.spark_partition_id().alias("__task")).where("kept and __task >= 0")
     return kept.select(*[F.col(f"__row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
-def _judged(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int, trusted_rows: int) -> DataFrame:
+    figures = base_figures(docs)
+    made = written(figures.select("*", features(F.col("text"), buckets).alias("__u")).drop("text"), "figures")
     # A row of `buckets` numbers at any size of the input, set into the plan as a constant.
-    ratios = fit(docs, labels, buckets).first()[0]
-    table = F.split(F.lit(",".join(f"{r:.6f}" for r in ratios)), ",").cast("array<double>")
-    made = base_figures(docs)
-    made = made.select("*", features(F.col("text")).alias("__h"))
-    made = made.select("*", _buckets(F.col("__h"), buckets).alias("__b")).drop("__h")
-    total = F.aggregate("__b", F.lit(0.0), lambda s, b: s + F.get(table, b))
-    made = made.select(*[c for c in made.columns if c != "__b"], F.size("__b").cast("long").alias("n_grams"), F.when(F.size("__b") > 0, total / F.size("__b")).otherwise(0.0).alias("llr"))
+    table = F.split(F.lit(",".join(f"{r:.6f}" for r in _ratios(made, labels, buckets, trusted_rows))), ",").cast("array<double>")
+    ratio = lambda s, b: s + F.get(table, b)
+    n = F.size("__u") + F.greatest(F.size("__u") - 1, F.lit(0))
+    total = F.aggregate("__u", F.lit(0.0), ratio) + F.aggregate(_pairs(F.col("__u"), buckets), F.lit(0.0), ratio)
+    out = made.select(*[c for c in made.columns if c != "__u"], n.cast("long").alias("n_grams"), F.when(n > 0, total / n).otherwise(0.0).alias("llr"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return made.select("*", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"))
+    return out.select("*", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"))

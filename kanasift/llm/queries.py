@@ -18,7 +18,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
