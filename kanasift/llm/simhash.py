@@ -203,7 +203,11 @@ def near_duplicates(docs: DataFrame, most: int = 2, width: int = 3, bucket: int
 
 def keep_first(docs: DataFrame, most: int = 2) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, once if its doc_id is repeated."""
-    ids = near_duplicates(docs, most)
+    return keep_smallest(docs, near_duplicates(docs, most))
+
+
+def keep_smallest(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is its own component_id in ids, once if the doc_id is repeated."""
     first = written(ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__first")).agg(F.count("*").alias("__n")), "first")
     # The kept ids grow with the documents, so they are never broadcast, small tables included.
     kept = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
