@@ -1,8 +1,8 @@
 """Quality rules: repetition and symbol figures, and a hashed n-gram log-likelihood ratio.
 
 The ratio follows data selection by hashed n-grams: each text's tokens (runs of letters and digits, or of
-other signs) and pairs of neighbours are hashed into buckets; one multinomial is counted over all documents,
-one over those that the labels name good; a document's score is the mean over its n-grams of
+other signs) and pairs of neighbours are hashed into buckets; one multinomial is counted over all distinct
+texts, one over those of which the labels name a copy good; a document's score is the mean over its n-grams of
 log(trusted / raw), and it is kept if the score is no less than a fixed threshold.
 """
 
@@ -82,9 +82,11 @@ def _pairs(tokens: Column, buckets: int) -> Column:
 def _ratios(made: DataFrame, labels: DataFrame, buckets: int, trusted_rows: int) -> list[float]:
     """log(trusted / raw) of each bucket, counts smoothed by one; all 0 without trusted documents."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct().orderBy(F.xxhash64("__good"), "__good").limit(trusted_rows)
-    marked = made.select("doc_id", "__u").join(F.broadcast(good), F.col("doc_id") == F.col("__good"), "left")
+    marked = made.select("doc_id", "__t1", "__t2", "__u").join(F.broadcast(good), F.col("doc_id") == F.col("__good"), "left")
+    # Each text counts once, however many copies it has; each task drops its own copies before they are dealt out.
+    one = marked.groupBy("__t1", "__t2").agg(F.first("__u").alias("__u"), F.max(F.col("__good").isNotNull().cast("long")).alias("__g"))
     # Each task sums its own counts by bucket before they are dealt out, so a frequent word is no hot key.
-    grams = marked.select(F.col("__good").isNotNull().cast("long").alias("__g"), F.explode(F.concat("__u", _pairs(F.col("__u"), buckets))).alias("bucket"))
+    grams = one.select("__g", F.explode(F.concat("__u", _pairs(F.col("__u"), buckets))).alias("bucket"))
     n = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("__g").alias("good")).collect()
     raw, trusted = buckets + sum(r["raw"] for r in n), buckets + sum(r["good"] for r in n)
     out = [log(1 / trusted) - log(1 / raw)] * buckets
@@ -98,8 +100,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
 
     base_failed: under 50 words, or over half of them in repeated windows. kept: not base_failed and llr at
     least threshold. A text without n-grams has llr 0. Empty tables give no rows, repeated rows are judged
-    each, other columns are ignored. Raw counts cover all of docs; trusted counts cover those that labels
-    (doc_id, quality) call good, of which at most trusted_rows, the first by hash, are used.
+    each, other columns are ignored. Raw counts cover each distinct text of docs once; trusted counts cover those
+    of which labels (doc_id, quality) call a copy good, of which at most trusted_rows, the first by hash, are used.
 
     Texts are gone through once: figures and tokens' buckets are a table, which is counted and then scored.
     """
@@ -117,12 +119,12 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bucke
 
 def _judged(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int, trusted_rows: int) -> DataFrame:
     figures = base_figures(docs)
-    made = written(figures.select("*", features(F.col("text"), buckets).alias("__u")).drop("text"), "figures")
+    made = written(figures.select("*", F.xxhash64("text").alias("__t1"), F.xxhash64(F.lit(7), "text").alias("__t2"), features(F.col("text"), buckets).alias("__u")).drop("text"), "figures")
     # A row of `buckets` numbers at any size of the input, set into the plan as a constant.
     table = F.split(F.lit(",".join(f"{r:.6f}" for r in _ratios(made, labels, buckets, trusted_rows))), ",").cast("array<double>")
     ratio = lambda s, b: s + F.get(table, b)
     n = F.size("__u") + F.greatest(F.size("__u") - 1, F.lit(0))
     total = F.aggregate("__u", F.lit(0.0), ratio) + F.aggregate(_pairs(F.col("__u"), buckets), F.lit(0.0), ratio)
-    out = made.select(*[c for c in made.columns if c != "__u"], n.cast("long").alias("n_grams"), F.when(n > 0, total / n).otherwise(0.0).alias("llr"))
+    out = made.select(*[c for c in made.columns if c not in ("__t1", "__t2", "__u")], n.cast("long").alias("n_grams"), F.when(n > 0, total / n).otherwise(0.0).alias("llr"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select("*", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"))

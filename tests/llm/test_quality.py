@@ -64,3 +64,15 @@ def test_without_labels_or_rows(spark):
     rows = quality.score(spark.createDataFrame([(1, " ".join(map(str, range(60)))), (1, " ".join(map(str, range(60))))], DOCS), none).collect()
     assert [(r["llr"], r["kept"]) for r in rows] == [(0.0, True)] * 2
     assert quality.score(spark.createDataFrame([], DOCS), none).collect() == []
+
+
+def test_copies_do_not_weigh(spark):
+    # A clean text with many copies that no label covers is judged like one without copies.
+    rng = random.Random(4)
+    some = lambda: " ".join(rng.choices([f"w{k}" for k in range(400)], k=200))
+    texts = [some() for _ in range(60)]
+    labels = spark.createDataFrame([(k, 1) for k in range(1, 40)], "doc_id long, quality int")
+    rows = [*enumerate(texts), *((1000 + k, texts[0]) for k in range(600))]
+    llr = {r["doc_id"]: (r["llr"], r["kept"]) for r in quality.score(spark.createDataFrame(rows, DOCS), labels).collect()}
+    alone = {r["doc_id"]: r["llr"] for r in quality.score(spark.createDataFrame(rows[:60], DOCS), labels).collect()}
+    assert all(kept for _, kept in llr.values()) and all(abs(llr[k][0] - x) < 1e-9 for k, x in alone.items())
