@@ -47,8 +47,8 @@ MAIN = {"article", "main"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_OFF = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -61,6 +61,7 @@ class Item:
     inside: bool
     block: int
     text: str | None = None
+    link: bool = False
 
 
 def _kind(tag: str, attributes: str) -> str:
@@ -68,31 +69,84 @@ def _kind(tag: str, attributes: str) -> str:
     if tag in KINDS:
         return KINDS[tag]
     if attributes and tag not in ("body", "html", "article", "main"):
-        for _, a, b, c in _NAMED.findall(attributes):
-            for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()):
-                if w in _KIND_OF:
-                    return _KIND_OF[w]
-        if _OFF.search(re.sub(r"\"[^\"]*\"|'[^']*'", lambda m: m[0] if "display" in m[0] else '""', attributes)):
+        hidden = False
+        for name, a, b, c in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), a or b or c
+            if name in ("class", "id", "role"):
+                for x in value.split():
+                    ws = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) if w]
+                    # A word amid others, as in content-sidebar-wrap, says little about the element.
+                    for w in ws[:1] + ws[-1:]:
+                        if w in _KIND_OF:
+                            return _KIND_OF[w]
+            elif name == "hidden":
+                hidden |= value.strip().lower() != "false"
+            elif name == "aria-hidden":
+                hidden |= value.strip().lower() == "true"
+            elif name == "style":
+                hidden |= bool(_NONE.search(value))
+        if hidden:
             return "hidden"
     return ""
 
 
 def parse(page: str) -> list[Item]:
-    """The tags and texts of a page in order. Unclosed elements end with their parent, stray ends are dropped."""
+    """The tags and texts of a page in order. Unclosed elements end with their parent, stray ends are dropped.
+
+    An element that holds the page's main or first article element, or most of its plain words, has no kind by
+    its name, nor has a form; comments and what is hidden stay so.
+    """
+    spared: set[int] = set()
+    while True:
+        items, opened = _parse(page, spared)
+        wrappers = _wrappers(items, opened)
+        if not wrappers:
+            return items
+        spared |= wrappers
+
+
+def _wrappers(items: list[Item], opened: list[tuple[int, str, int, int]]) -> set[int]:
+    """The places of those opened elements (place, kind, first item, end) that hold the main text."""
+    if not opened:
+        return set()
+    main = next((k for k, i in enumerate(items) if i.tag == "main"), None)
+    article = next((k for k, i in enumerate(items) if i.tag == "article" and k > (-1 if main is None else main)), None)
+    marks = [k for k in (main, article) if k is not None]
+    out = {place for place, _, lo, hi in opened if any(lo <= k < hi for k in marks)}
+    if not marks:
+        n = [len(i.text.split()) if i.text is not None and not i.link else 0 for i in items]
+        own = [sum(n[lo:hi]) for _, _, lo, hi in opened]
+        total = sum(x for x, i in zip(n, items, strict=True) if i.kind == "")
+        end = 0
+        for (_, _, lo, hi), x in zip(opened, own, strict=True):
+            if lo >= end:  # the outermost ones
+                total, end = total + x, hi
+        out = {place for (place, kind, _, _), x in zip(opened, own, strict=True) if kind != "comment" and 2 * x > total}
+    return out
+
+
+def _parse(page: str, spared: set[int]) -> tuple[list[Item], list[tuple[int, str, int, int]]]:
+    """parse() with the elements at the places `spared` without a kind, and the outermost others that could be spared."""
     items: list[Item] = []
-    stack: list[tuple[str, str, bool]] = []  # open elements: tag, kind of all it holds, inside main text
+    opened: list[tuple[int, str, int, int]] = []
+    # Open elements: tag, kind of all it holds, inside main text, inside a link, and its number in opened or -1.
+    stack: list[tuple[str, str, bool, bool, int]] = []
     block, at, n = 0, 0, len(page)
-    kind, inside = "", False
+    kind, inside, link = "", False, False
 
     def text(s: str) -> None:
         if s and kind != "hidden":
             if "&" in s:
                 s = _html.unescape(s)
-            items.append(Item("", kind, inside, block, s))
+            items.append(Item("", kind, inside, block, s, link))
 
-    def reset() -> None:
-        nonlocal kind, inside
-        _, kind, inside = stack[-1] if stack else ("", "", False)
+    def close(k: int) -> None:
+        nonlocal kind, inside, link
+        for *_, number in stack[k:]:
+            if number >= 0:
+                opened[number] = (*opened[number][:3], len(items))
+        del stack[k:]
+        _, kind, inside, link, _ = stack[-1] if stack else ("", "", False, False, -1)
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -111,16 +165,14 @@ def parse(page: str) -> list[Item]:
             if depth is not None and not (tag in INLINE and any(t not in INLINE for t, *_ in stack[depth + 1 :])):
                 if kind != "hidden":
                     items.append(Item(tag, kind, inside, block))
-                del stack[depth:]
-                reset()
+                close(depth)
             continue
         if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             ends = {"p"} if tag in CLOSES_P else {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}[tag]
             stop = {"ul", "ol", "dl", "table", "select", "article", "main", "body", "div", "section"}
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ends:
-                    del stack[k:]
-                    reset()
+                    close(k)
                     break
                 if stack[k][0] in stop and stack[k][0] != tag:
                     break
@@ -129,6 +181,9 @@ def parse(page: str) -> list[Item]:
                 text(" ")
             continue
         own = "hidden" if tag in HIDDEN else _kind(tag, m[3])
+        could = own not in ("", "hidden") and (tag not in KINDS or KINDS[tag] == "form")
+        if could and at in spared:
+            own, could = "", False
         if own == "header" and inside and tag == "header" and not kind:
             own = "title"  # the header of an article: its headings count
         below = kind if kind in ("hidden", *_KIND_OF.values()) else own or kind
@@ -138,6 +193,10 @@ def parse(page: str) -> list[Item]:
             below = ""
         if tag == "a" and not below:
             below = "link"
+        number = -1
+        if could and below != "hidden" and tag not in VOID:
+            number = len(opened)
+            opened.append((at, below, len(items), n))
         if below != "hidden":
             items.append(Item(tag, below, inside or tag in MAIN, block))
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "math", "path"):
@@ -146,9 +205,9 @@ def parse(page: str) -> list[Item]:
             end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append((tag, below, inside or tag in MAIN))
-        kind, inside = below, stack[-1][2]
-    return items
+        stack.append((tag, below, inside or tag in MAIN, link or tag == "a", number))
+        _, kind, inside, link, _ = stack[-1]
+    return items, opened
 
 
 @dataclass

@@ -56,3 +56,19 @@ def test_extract(spark):
     assert len(out) == len(pages) and {r["page_id"]: r["text"] for r in out}[0] == TEXT.replace("paragraph", "paragraph")
     assert all(r["n_chars"] == len(r["text"]) for r in out)
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_wrappers_and_visible_elements_keep_their_text():
+    w = html.fit(labelled())
+    story = "<article><p>The whole story stands here.</p></article>"
+    for attributes in ('class="content-sidebar-wrap"', 'class="has-sidebar"', 'class="header-image"', 'id=bottom', 'class="share"', 'class="layout tabs"', 'role="form"', 'class="promo"><div class="widget"', 'aria-hidden="false"', "aria-hidden='false'", 'hidden="false"', 'data-hidden="x"'):
+        page = f'<body><nav>Home page</nav><div {attributes}>{story}</div><div class="comments"><article>Nice read, thanks</article></div></body>'
+        assert html.main_text(page, w) == "The whole story stands here.", attributes
+    assert html.main_text(f"<form action=x>{story}</form>", w) == "The whole story stands here."
+    for attributes in ('hidden', 'hidden=""', 'aria-hidden="true"', 'style="display: none"'):
+        assert html.main_text(f"<article><p>Seen by all.</p><div {attributes}>not seen</div></article>", w) == "Seen by all.", attributes
+    assert html.main_text('<article><p>Seen by all.</p><p aria-hidden="false">So is this.</p></article>', w) == "Seen by all.\nSo is this."
+    # Without such an element, a wrapper with most of the plain words is spared, a real sidebar is not.
+    long = "<p>" + "many plain words stand here " * 20 + "</p>"
+    out = html.main_text(f'<body><div class="has-sidebar">{long}<div class="sidebar"><p>Other stories</p></div></div></body>', w)
+    assert out.startswith("many plain words") and "Other" not in out
