@@ -15,9 +15,11 @@ HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests, local mode)."""
+    """The folder that driver and executors share; one of our own only where none is set and the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         path = getattr(spark, "_kanasift_dir", None)
         if not path:
             path = "file://" + tempfile.mkdtemp(prefix="kanasift-")

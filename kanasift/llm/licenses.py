@@ -2,8 +2,8 @@
 chained into covered spans.
 
 The automaton accepts every run of tokens of every template. Streaming a file through it gives, at each token,
-the longest run ending there that some template has. Runs of MIN_MATCH tokens or more that cannot be extended
-are anchors; anchors that follow one another in both file and template are chained, and a chain that covers
+the longest run ending there that some template has. A template's runs of MIN_MATCH tokens or more that cannot
+be extended are its anchors; anchors that follow one another in both file and template are chained, and a chain that covers
 enough of its template labels the file.
 """
 
@@ -63,6 +63,7 @@ class Automaton:
     ends: list[list[tuple[int, int]]] = field(default_factory=lambda: [[]])
     labels: list[str] = field(default_factory=list)
     lengths: list[int] = field(default_factory=list)
+    texts: list[list[int]] = field(default_factory=list)
 
     def _new(self, size: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
@@ -87,6 +88,7 @@ class Automaton:
         tokens = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
         self.labels.append(label)
         self.lengths.append(len(tokens))
+        self.texts.append(tokens)
         last = 0
         for at, c in enumerate(tokens):
             if c in self.step[last]:
@@ -136,26 +138,54 @@ def build(templates=None) -> Automaton:
     return out.finish()
 
 
-def chains(auto: Automaton, tokens: list[int], at: int, min_match: int, max_gap: int) -> list[tuple[int, int, int, int]]:
-    """(template, tokens covered, first, end) of chains of anchors in a run of known tokens that begins at `at`."""
+def anchors(auto: Automaton, tokens: list[int], min_match: int) -> dict[int, list[tuple[int, int, int]]]:
+    """Of each template, (first in file, first in template, length) of all runs shared that can be extended to neither side.
+
+    A template that is itself part of a longer match has its own run there: suffix links lead from the longest
+    run that ends at a token to the shorter ones, and the places that each adds.
+    """
     stats = auto.statistics(tokens)
-    anchors: dict[int, list[tuple[int, int, int]]] = {}
+    shortest = min([min_match, *auto.lengths])
+    out: dict[int, list[tuple[int, int, int]]] = {}
     for k, (n, state) in enumerate(stats):
-        if n and (k + 1 == len(stats) or stats[k + 1][0] != n + 1):
+        following = tokens[k + 1] if k + 1 < len(tokens) else -1
+        seen = None
+        while n >= shortest and state > 0:
             for t, end in auto.ends[state]:
-                if n >= min(min_match, auto.lengths[t]):
-                    anchors.setdefault(t, []).append((k + 1 - n, end - n, n))
+                if seen and (t, end) in seen:
+                    continue
+                if n >= min(min_match, auto.lengths[t]) and (following < 0 or end == auto.lengths[t] or auto.texts[t][end] != following):
+                    out.setdefault(t, []).append((k + 1 - n, end - n, n))
+            up = auto.link[state]
+            if up > 0 and auto.size[up] >= shortest:
+                seen = set(auto.ends[state])
+            state, n = up, auto.size[up]
+    return out
+
+
+def chains(auto: Automaton, tokens: list[int], at: int, min_match: int, max_gap: int) -> list[tuple[int, int, int, int]]:
+    """(template, tokens covered, first, end) of chains of anchors in a run of known tokens that begins at `at`.
+
+    An anchor joins the chain of the largest cover that ends max_gap tokens before it at most, else it begins one.
+    Anchors come in order of the file, so a chain that ends farther back is closed and never looked at again.
+    """
     out = []
-    for t, found in anchors.items():
+    for t, found in anchors(auto, tokens, min_match).items():
         found.sort()
         open_chains: list[list[int]] = []  # file end, template end, covered, first
         for f, p, n in found:
-            best = None
+            best, late = None, False
             for c in open_chains:
+                if f - c[0] > max_gap:
+                    late = True
+                    continue
                 # What overlaps the chain's end is cut off the anchor's front.
                 cut = max(0, c[0] - f, c[1] - p)
                 if cut < n and f + cut - c[0] <= max_gap and p + cut - c[1] <= max_gap and (best is None or c[2] > best[0][2]):
                     best = (c, cut)
+            if late:
+                out += [(t, c[2], at + c[3], at + c[0]) for c in open_chains if f - c[0] > max_gap]
+                open_chains = [c for c in open_chains if f - c[0] <= max_gap]
             if best:
                 c, cut = best
                 c[:3] = [f + n, p + n, c[2] + n - cut]
@@ -204,7 +234,8 @@ def scan_documents(docs: DataFrame, templates=None, min_match: int = MIN_MATCH,
     """One row for each row of docs (doc_id, text): figures, labels, score and covered template spans.
 
     Null and empty texts have no words, no places and score 0; repeated rows are scanned each; no rows give no
-    rows; other columns are ignored. score is the largest share of a template that a chain covers.
+    rows; other columns are ignored. score is the largest share of a template that a chain covers. Time and memory
+    grow with a text's length, whatever notices it repeats.
     """
     templates = list(templates or TEMPLATES)
     phrases = [(words(p), label) for p, label in PHRASES.items()]

@@ -139,14 +139,14 @@ def place(made: DataFrame, capacity: int) -> DataFrame:
     length, however common, is gathered in one task. The plan has a bounded number of rows and is broadcast.
     """
     spark = made.sparkSession
-    # One row a length and task: small beside the pieces, but not bounded, so Spark chooses the join.
+    # One row a length and task grows with the tasks, so it is never broadcast; a key has one task's pieces at most.
     each = written(made.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     before = each.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     histogram = {r[0]: r[1] for r in each.groupBy("length").agg(F.sum("n")).collect()}
     if histogram and not 0 < min(histogram) <= max(histogram) <= capacity:
         raise ValueError("a piece is empty or longer than the capacity")
     rows = spark.createDataFrame(plan(histogram, capacity), "length long, lo long, hi long, first long, each long, base long")
-    ranked = made.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("k")).drop("before", "part", "k")
+    ranked = made.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("k")).drop("before", "part", "k")
     found = ranked.join(F.broadcast(rows), (ranked["length"] == rows["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).drop(rows["length"])
     nth = F.col("rank") - F.col("lo")
     return found.withColumn("sequence_id", F.col("first") + F.floor(nth / F.col("each"))).withColumn("offset", F.col("base") + nth % F.col("each") * F.col("length")).drop("rank", "lo", "hi", "first", "each", "base")

@@ -96,16 +96,18 @@ def _ratios(made: DataFrame, labels: DataFrame, buckets: int, trusted_rows: int)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """doc_id, the base figures, n_grams long, llr double, base_failed and kept booleans for each row of docs.
+    """doc_id, the base figures, base_failed and kept booleans, n_grams long and llr double for each row of docs.
 
     base_failed: under 50 words, or over half of them in repeated windows. kept: not base_failed and llr at
     least threshold. A text without n-grams has llr 0. Empty tables give no rows, repeated rows are judged
-    each, other columns are ignored. Raw counts cover each distinct text of docs once; trusted counts cover those
+    each, other columns are ignored; a text of any length is one row's work, in memory some tens of times its size. Raw counts cover each distinct text of docs once; trusted counts cover those
     of which labels (doc_id, quality) call a copy good, of which at most trusted_rows, the first by hash, are used.
 
     Texts are gone through once: figures and tokens' buckets are a table, which is counted and then scored.
     """
-    return _judged(docs, labels, threshold, buckets, trusted_rows)
+    judged = _judged(docs, labels, threshold, buckets, trusted_rows)
+    last = ["n_grams", "llr"]
+    return judged.select(*[c for c in judged.columns if c not in last], *last)
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
