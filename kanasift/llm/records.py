@@ -10,6 +10,9 @@ A shard file holds records one after another:
 with payload = doc_id (8 bytes, signed), flags (1 byte: 1 if doc_id is null, 2 if ids take 4 bytes, else 2
 bytes each), ids. The index file beside it has 24 bytes a record: doc_id, offset of the record, ids of the
 shard before it. Records are in ascending doc_id order over shards and within them, null first.
+
+A shard's files have the name of the attempt that wrote them, and only those of attempts that succeeded stand in
+the shards' table, so nothing is ever renamed or written over; what lost attempts left is removed at the end.
 """
 
 from __future__ import annotations
@@ -27,7 +30,14 @@ from .tokens import batches_of_texts, encoder
 
 END = (2).to_bytes(4, "little")
 _HEAD, _ENTRY = "<QI", "<qQQ"
+_ENTRIES = np.dtype([("doc_id", "<i8"), ("at", "<u8"), ("start", "<u8")])
 SHARDS = "shard int, file string, records long, tokens long"
+#: Bytes of text of a shard; there are as many shards as shuffle partitions at least.
+SHARD_BYTES = 1 << 28
+#: Records that are read at once, and their bytes unless one has more.
+RUN, RUN_BYTES = 2000, 1 << 25
+#: Characters of a text by which documents of one doc_id are dealt out.
+FRONT = 32
 
 
 def masked(data: bytes) -> int:
@@ -72,14 +82,19 @@ def _store(uri: str):
 def write_records(docs: DataFrame, uri: str | None = None, shards: int | None = None, path: str | None = None) -> DataFrame:
     """Writes docs (doc_id, text), encoded and ended by id 2, in ascending doc_id order; returns the shards' table.
 
-    A shard is written under a name of its attempt and then renamed, so a lost executor's shard is made again
-    whole. The texts are dealt by doc_id range before they are encoded, so only texts move. Null texts are
-    empty; repeated rows are records each, ties of doc_id in order of text; no rows give no records.
+    The texts are dealt by range before they are encoded, so only texts move: by doc_id, the text's first
+    characters and the place in the input, so that many rows of one doc_id or none are dealt to many shards. Null
+    texts are empty; repeated rows are records each; ties of doc_id come in order of their texts' first FRONT
+    characters; no rows give no records; other columns are ignored.
     """
     spark = docs.sparkSession
     uri = uri or new_path(spark, "records")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if not shards:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    rows = rows.select("*", F.substring("text", 1, FRONT).alias("front"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange(shards, "doc_id", "front", "place").sortWithinPartitions("doc_id", "front", "text").select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -88,9 +103,9 @@ def write_records(docs: DataFrame, uri: str | None = None, shards: int | None =
         code, shard = encoder(path), context.partitionId()
         store, base = _store(uri)
         store.create_dir(base, recursive=True)
-        name, own = f"shard-{shard:06d}", f".{shard:06d}-{context.taskAttemptId()}"
+        name = f"shard-{shard:06d}-{context.taskAttemptId()}"
         records = tokens = at = 0
-        with store.open_output_stream(f"{base}/{own}.rec") as data, store.open_output_stream(f"{base}/{own}.idx") as index:
+        with store.open_output_stream(f"{base}/{name}.rec") as data, store.open_output_stream(f"{base}/{name}.idx") as index:
             for b in batches:
                 doc_ids = b.column(0).to_pylist()
                 for first, some in batches_of_texts(b.column(1).to_pylist()):
@@ -102,11 +117,22 @@ def write_records(docs: DataFrame, uri: str | None = None, shards: int | None =
                         at += len(record)
                         tokens += len(ids) // 4
                         records += 1
-        for kind in ("rec", "idx"):
-            store.move(f"{base}/{own}.{kind}", f"{base}/{name}.{kind}")
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (f"{uri}/{name}", pa.string()), (records, pa.int64()), (tokens, pa.int64()))], names=["shard", "file", "records", "tokens"])
 
-    return written(rows.mapInArrow(run, SHARDS), "shards")
+    made = written(rows.mapInArrow(run, SHARDS), "shards")
+    _sweep(uri, made)
+    return made
+
+
+def _sweep(uri: str, shards: DataFrame) -> None:
+    """Removes files of attempts that no row of the shards' table names."""
+    from pyarrow import fs
+
+    store, base = _store(uri)
+    named = {r[0].rsplit("/", 1)[1] for r in shards.select("file").toLocalIterator()}
+    for info in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if info.base_name.rsplit(".", 1)[0] not in named:
+            store.delete_file(info.path)
 
 
 def read_records(shards: DataFrame) -> DataFrame:
@@ -122,20 +148,23 @@ def read_records(shards: DataFrame) -> DataFrame:
         for b in batches:
             for file, base, records in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 store, local = _store(file)
-                entries = np.frombuffer(store.open_input_file(f"{local}.idx").read(), np.dtype([("doc_id", "<i8"), ("at", "<u8"), ("start", "<u8")]))
-                if len(entries) != records:
-                    raise ValueError(f"{file} has {len(entries)} records, not {records}")
+                if (size := store.get_file_info(f"{local}.idx").size) != records * _ENTRIES.itemsize:
+                    raise ValueError(f"{file} has {size / _ENTRIES.itemsize} records, not {records}")
                 at, size = 0, store.get_file_info(f"{local}.rec").size
-                with store.open_input_file(f"{local}.rec") as f:
-                    for k in range(0, records, 2000):
-                        end = int(entries["at"][k + 2000]) if k + 2000 < records else size
-                        data, out, here = memoryview(f.read(end - at)), [], 0
-                        for e in entries[k : k + 2000]:
+                with store.open_input_file(f"{local}.rec") as f, store.open_input_file(f"{local}.idx") as index:
+                    k = 0
+                    while k < records:
+                        entries = np.frombuffer(index.read_at(min(RUN + 1, records - k) * _ENTRIES.itemsize, k * _ENTRIES.itemsize), _ENTRIES)
+                        ends = np.r_[entries["at"][1:], [] if k + len(entries) < records else size].astype(np.int64)
+                        some = max(1, int(np.searchsorted(ends, at + RUN_BYTES, side="right")))
+                        data, out, here = memoryview(f.read(int(ends[some - 1]) - at)), [], 0
+                        for e in entries[:some]:
                             if at + here != int(e["at"]):
                                 raise ValueError(f"{file}: the index does not fit")
                             doc_id, ids, here = unframe(data, here)
                             out.append((doc_id, base + int(e["start"]), len(ids) // 4, zlib.crc32(ids)))
-                        at = end
+                        at += len(data)
+                        k += some
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -144,7 +173,7 @@ def read_records(shards: DataFrame) -> DataFrame:
 def read_at(file: str, positions: list[int]) -> list[tuple[int | None, list[int]]]:
     """Records of one shard by position, in the order asked: a shuffled read through the offset index."""
     store, local = _store(file)
-    entries = np.frombuffer(store.open_input_file(f"{local}.idx").read(), np.dtype([("doc_id", "<i8"), ("at", "<u8"), ("start", "<u8")]))
+    entries = np.frombuffer(store.open_input_file(f"{local}.idx").read(), _ENTRIES)
     size, out = store.get_file_info(f"{local}.rec").size, []
     with store.open_input_file(f"{local}.rec") as f:
         for p in positions:

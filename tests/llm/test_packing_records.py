@@ -131,3 +131,24 @@ def test_damage_is_noticed():
             records.unframe(memoryview(bytes(bad)), here)
     with pytest.raises(ValueError):
         records.unframe(memoryview(good[:-1]), at)
+
+
+def test_records_of_one_doc_id_are_dealt_out(spark, tokenizer, tmp_path):
+    rows = [(5, "same text")] * 300 + [(None, f"text {k}") for k in range(300)] + [(6, "é" * 3000), (4, None)]
+    shards = records.write_records(spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", front string").repartition(4), f"file://{tmp_path}/hot", 6)
+    assert max(r["records"] for r in shards.collect()) < 250
+    out = sorted((tuple(r) for r in records.read_records(shards).collect()), key=lambda r: r[1])
+    assert [r[0] for r in out] == [None] * 300 + [4] + [5] * 300 + [6]
+    at = 0
+    for _, start, n, _ in out:
+        assert start == at
+        at += n
+
+
+def test_files_of_lost_attempts_go(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    for kind in ("rec", "idx"):
+        (tmp_path / "out" / f"shard-000000-999999.{kind}").write_bytes(b"half a file")
+    shards = records.write_records(spark.createDataFrame([(1, "a b"), (2, "c")], DOCS), f"file://{tmp_path}/out", 2)
+    assert records.read_records(shards).count() == 2
+    assert {p.name.rsplit(".", 1)[0] for p in (tmp_path / "out").iterdir()} == {r["file"].rsplit("/", 1)[1] for r in shards.collect()}
