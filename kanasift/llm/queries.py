@@ -11,6 +11,8 @@ from ._shared import table
 
 #: The day from which list entries and captures of pages are counted.
 URL_DAY = "2024-01-01"
+#: What stands before the host of a mirrored page.
+MIRROR = "a.b.c.mirror."
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +38,8 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dated list entries over all hosts of pages: about a third is blocked for some time, by digits of the host's MD5.
 
-    Some come back, some have their first path segment allowed, and some registered domains are blocked whole.
+    Some come back, some have their first path segment allowed, some registered domains are blocked whole, and
+    some mirrors are, whose hosts have up to eight labels and whose paths three segments, starred keys among them.
     """
     host = urls.host_of(F.col("url"))
     hosts = table(spark, sf_dir, "pages").select(host.alias("host")).where("host != ''").distinct()
@@ -49,6 +52,9 @@ def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         base.where("d % 6 = 0").select(F.col("host").alias("key"), F.lit("drop").alias("action"), day(start + 90).alias("at")),
         base.where("d % 12 = 0").select(F.col("host").alias("key"), F.lit("block").alias("action"), day(start + 150).alias("at")),
         base.where("d % 9 = 0").select(F.concat("host", F.lit("/en")).alias("key"), F.lit("allow").alias("action"), day(start + 30).alias("at")),
+        base.where("d % 10 = 0").select(F.concat(F.lit(MIRROR), "host").alias("key"), F.lit("block").alias("action"), day(start + 10).alias("at")),
+        base.where("d % 15 = 0").select(F.concat(F.lit(MIRROR), "host", F.lit("/web/2024/de")).alias("key"), F.lit("allow").alias("action"), day(start + 60).alias("at")),
+        base.where("d % 8 = 0").select(F.concat(F.lit("*."), "host", F.lit("/web/2024/en")).alias("key"), F.lit("block").alias("action"), day(start + 20).alias("at")),
         base.groupBy("domain").agg(F.min("d").alias("d")).where("d % 2 = 0").select(F.col("domain").alias("key"), F.lit("block").alias("action"), day((F.col("d") % 100).cast("int") + 250).alias("at")),
     ]
     out = rows[0]
@@ -58,14 +64,17 @@ def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages as captures: one is fetched every 37 minutes of a year, over and over."""
+    """pages as captures: one is fetched every 37 minutes of a year, over and over; one in seven from a mirror as well."""
     at = F.lit(URL_DAY).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), ((F.col("page_id") * 37) % 525600).cast("int"))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("capture_id"), "url", at.alias("fetched_at"))
+    pages = table(spark, sf_dir, "pages")
+    rest = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(.*)$", 1)
+    mirrored = pages.where("page_id % 7 = 0 and url is not null").select(F.struct("page_id", F.lit(True).alias("mirror")).alias("capture_id"), F.concat(F.lit(f"https://{MIRROR}"), urls.host_of(F.col("url")), F.lit("/web/2024"), rest).alias("url"), at.alias("fetched_at"))
+    return pages.select(F.struct("page_id", F.lit(False).alias("mirror")).alias("capture_id"), "url", at.alias("fetched_at")).unionByName(mirrored)
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urls.evaluate(captures(spark, sf_dir), url_list(spark, sf_dir))
-    return out.select(F.col("capture_id").alias("page_id"), "url", "host", "matched_key", "action", "blocked")
+    return out.select("capture_id.page_id", "capture_id.mirror", "url", "host", "matched_key", "action", "blocked")
 
 
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,20 +124,29 @@ from judged group by doc_id
 """
 
 OP6_SQL = r"""
-with hosts_of as (
+with plain as (
   select page_id, url, lower(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.+$', '')) as host,
          timestamp '2024-01-01' + to_minutes((page_id * 37) % 525600) as at_,
          regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)', 1) as path from pages
 ),
+hosts_of as (
+  select page_id, false as mirror, url, host, at_, path from plain
+  union all
+  select page_id, true, 'https://a.b.c.mirror.' || host || '/web/2024' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*((?s:.*))$', 1), 'a.b.c.mirror.' || host, at_, 'web/2024/' || path
+  from plain where page_id % 7 = 0 and url is not null
+),
 base as (
   select host, cast('0x' || substr(md5(host), 1, 6) as bigint) as d, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain
-  from (select distinct host from hosts_of where host <> '')
+  from (select distinct host from plain where host <> '')
 ),
 entries as (
   select host as key, 'block' as action, timestamp '2024-01-01' + to_days(cast(d % 200 as integer)) as at_ from base where d % 3 = 0
   union all select host, 'drop', timestamp '2024-01-01' + to_days(cast(d % 200 + 90 as integer)) from base where d % 6 = 0
   union all select host, 'block', timestamp '2024-01-01' + to_days(cast(d % 200 + 150 as integer)) from base where d % 12 = 0
   union all select host || '/en', 'allow', timestamp '2024-01-01' + to_days(cast(d % 200 + 30 as integer)) from base where d % 9 = 0
+  union all select 'a.b.c.mirror.' || host, 'block', timestamp '2024-01-01' + to_days(cast(d % 200 + 10 as integer)) from base where d % 10 = 0
+  union all select 'a.b.c.mirror.' || host || '/web/2024/de', 'allow', timestamp '2024-01-01' + to_days(cast(d % 200 + 60 as integer)) from base where d % 15 = 0
+  union all select '*.' || host || '/web/2024/en', 'block', timestamp '2024-01-01' + to_days(cast(d % 200 + 20 as integer)) from base where d % 8 = 0
   union all select domain, 'block', timestamp '2024-01-01' + to_days(cast(d % 100 + 250 as integer)) from (select domain, min(d) as d from base group by domain) where d % 2 = 0
 ),
 ranked as (
@@ -138,19 +156,22 @@ spans as (
   select * from (select key, r, at_ as since, lead(at_) over (partition by key order by at_) as until from ranked) where r < 2
 ),
 segments as (select *, list_filter(string_split(path, '/'), lambda x: x <> '') as parts, string_split(host, '.') as labels from hosts_of where host <> ''),
+suffixes as (
+  select page_id, mirror, at_, parts, k = 0 as whole, len(labels) - k as n, array_to_string(list_slice(labels, k + 1, len(labels)), '.') as suffix
+  from segments, unnest(range(len(labels))) t(k) where k = 0 or len(labels) - k >= 2
+),
 asked as (
-  select page_id, at_, len(labels) + 0 - k as depth, array_to_string(list_slice(labels, k + 1, len(labels)), '.') as key, k as cut from segments, range(0, 6) t(k)
-  where len(labels) - k >= least(2, len(labels)) and len(labels) - k <= 6
-  union all select page_id, at_, 100, host, 0 from segments
-  union all select page_id, at_, 100 + n, host || '/' || array_to_string(list_slice(parts, 1, n), '/'), 0 from segments, range(1, 3) t(n) where len(parts) >= n
+  select page_id, mirror, at_, n, 0 as s, 1 as plain, suffix as key from suffixes
+  union all select page_id, mirror, at_, n, s, 1, suffix || '/' || array_to_string(list_slice(parts, 1, s), '/') from suffixes, unnest(range(1, len(parts) + 1)) t(s) where whole
+  union all select page_id, mirror, at_, n, s, 0, '*.' || suffix || '/' || array_to_string(list_slice(parts, 1, s), '/') from suffixes, unnest(range(1, len(parts) + 1)) t(s)
 ),
 met as (
-  select a.page_id, max(struct_pack(depth := a.depth, key := a.key, r := -s.r)) as w from asked a
-  join spans s on a.key = s.key and a.at_ >= s.since and (s.until is null or a.at_ < s.until) group by a.page_id
+  select a.page_id, a.mirror, max(struct_pack(n := a.n, s := a.s, plain := a.plain, key := a.key, r := -s.r)) as w from asked a
+  join spans s on a.key = s.key and a.at_ >= s.since and (s.until is null or a.at_ < s.until) group by a.page_id, a.mirror
 )
-select h.page_id, h.url, h.host, m.w.key as matched_key, case when m.w.r = -1 or m.w is null then 'allow' else 'block' end as action,
+select h.page_id, h.mirror, h.url, h.host, m.w.key as matched_key, case when m.w.r = -1 or m.w is null then 'allow' else 'block' end as action,
        m.w is not null and m.w.r = 0 as blocked
-from hosts_of h left join met m using (page_id)
+from hosts_of h left join met m using (page_id, mirror)
 """
 
 OP10_SQL = r"""

@@ -54,3 +54,44 @@ def test_repeats_and_empty_tables(spark):
     assert [r["blocked"] for r in urls.evaluate(rows, entries).collect()] == [True] * 4
     assert [r["blocked"] for r in urls.evaluate(rows, entries.limit(0)).collect()] == [False] * 4
     assert urls.evaluate(rows.limit(0), entries).collect() == []
+
+
+def as_of(capture, entries):
+    """The most specific of all a list's keys that fit a capture, each key looked at by itself."""
+    _, url, at = capture
+    host, _, path = url.split("://", 1)[1].partition("/")
+    parts = [p for p in path.split("/") if p]
+    best = None
+    for key in {e[0] for e in entries}:
+        name, _, front = key.partition("/")
+        front = front.split("/") if front else []
+        star = name.startswith("*.")
+        name = name.removeprefix("*.")
+        inside = host == name or host.endswith("." + name)
+        if not (inside if star or not front else host == name) or parts[: len(front)] != front:
+            continue
+        now = max(((e[2], e[1]) for e in entries if e[0] == key and e[2] <= at), default=None)
+        if now and now[1] != "drop":
+            best = max(best or (0,), (name.count(".") + 1, len(front), not star, key, now[1]))
+    return (None, "allow") if best is None else best[3:]
+
+
+def test_deep_paths_and_long_hosts(spark):
+    rng = random.Random(9)
+    name = "i.h.g.f.e.d.c.b.a.com".split(".")
+    hosts = [".".join(name[k:]) for k in range(9)] + ["other.org", "x.other.org"]
+    captures = [(k, f"https://{rng.choice(hosts)}/{rng.choice(['x/y/z/x/W', '/'.join(rng.choices('xyzW', k=rng.randint(0, 6)))])}", DAY + timedelta(hours=rng.randint(0, 500))) for k in range(600)]
+    keys = [*hosts[:9], "a.com/x/y/z", "d.c.b.a.com/x/y/z/x", "*.a.com/x/y", "*.c.b.a.com/x", "*.other.org/W", "other.org/x/W/x/y/z", "f.e.d.c.b.a.com"]
+    entries = sorted({(k, d): (k, rng.choice(["block", "allow", "drop"]), DAY + timedelta(days=d)) for k in keys for d in rng.sample(range(20), 3)}.values())
+    out = urls.evaluate(spark.createDataFrame(captures, "capture_id long, url string, fetched_at timestamp"), spark.createDataFrame(entries, "key string, action string, at timestamp")).collect()
+    got = {r["capture_id"]: (r["matched_key"], r["action"]) for r in out}
+    assert got == {c[0]: as_of(c, entries) for c in captures}
+    assert {k for k, _ in got.values()} >= {"a.com/x/y/z", "*.a.com/x/y", "f.e.d.c.b.a.com"}
+
+
+def test_one_key_with_many_entries_and_captures(spark):
+    # 2,000 entries and 40,000 captures of one host: rows are their sum, not their product.
+    entries = spark.range(2000).selectExpr("'a.com' as key", "if(id % 2 = 0, 'block', 'drop') as action", "timestamp'2024-01-01' + make_dt_interval(0, 0, cast(id * 2 as int)) as at")
+    rows = spark.range(40000).selectExpr("id as capture_id", "'http://w.a.com/x' as url", "timestamp'2024-01-01' + make_dt_interval(0, 0, cast(id % 4000 as int)) as fetched_at")
+    out = urls.evaluate(rows, entries)
+    assert out.where("blocked != (cast(floor((capture_id % 4000) / 2) as int) % 2 = 0)").count() == 0 and out.count() == 40000
