@@ -63,3 +63,40 @@ def test_queries_are_named(spark):
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
     assert decontam.question_and_answer("One two. Three?") == (["one", "two"], ["three"])
+
+
+def test_columns_of_the_documents_own_keep_their_values(spark):
+    docs = [(k, f"line one of {k} here\nAll rights reserved", f"s{k}", 777, 888, "x") for k in range(8)] + [(9, None, None, 1, 2, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_removed int, n_lines int, __own_x string")
+    out = corpus_pipeline.drop_boilerplate(spark, df, "")
+    assert out.columns == df.columns
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert all((rows[k]["n_removed"], rows[k]["n_lines"]) == d[3:5] for k, d in enumerate(docs[:8]))
+    assert [k for k in range(8) if "rights" in rows[k]["text"]] == [0] and rows[9]["text"] is None
+
+
+def test_near_copies_by_the_contract(spark):
+    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(600)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(20, 200))) for _ in range(40)]
+    for k in range(40):
+        ws = texts[k].split()
+        for _ in range(rng.randint(0, 4)):
+            ws[rng.randrange(len(ws))] = "other"
+        texts.append(" ".join(ws))
+    texts += [texts[0]] * 3 + [texts[1] + " x"] * 2 + ["short", "short one"]
+    sets = []
+    for t in texts:
+        ws = t.split()
+        n = min(5, len(ws))
+        sets.append({tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)})
+    first = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                lo, hi = sorted((first[a], first[b]))
+                first = [lo if x == hi else x for x in first]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(first) and len(kept) < 70
