@@ -1,9 +1,10 @@
 """Main text of web pages: the best-scoring contiguous run of words and tags.
 
-A page becomes a sequence of words and tags. Each word scores by where it stands (in a menu, a link, plain
-text, ..), each tag scores below zero; the weights are log odds fitted on labelled pages. One linear scan finds
-the run of the largest sum, the content region; within it, blocks of menus, forms, adverts, comments and the
-like are left out.
+A page becomes a sequence of words and tags. Each word scores by where it stands: in a menu, a link or plain text,
+inside or outside an article element, and where a page has no such element, by the block's tag, the class words
+around it and whether it is linked. Each tag scores below zero. All weights are log odds fitted on labelled pages.
+One linear scan finds the run of the largest sum, the content region; within it, words whose place weighs below
+zero (menus, forms, adverts, comments and the like) are left out.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import log
 
 import pyarrow as pa
@@ -43,10 +44,12 @@ NAMES = {
     "form": "form login search searchform",
 }
 _KIND_OF = {w: k for k, ws in NAMES.items() for w in ws.split()}
+#: Those of them that say so inside an article too, where others may be layout or subject.
+PLAIN_NAMES = set("breadcrumb breadcrumbs pagination pager navbar navigation sidebar related recommended share sharing ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted comments commentlist disqus replies respond cookie cookies consent gdpr newsletter paywall popup".split())
 MAIN = {"article", "main"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
@@ -62,32 +65,32 @@ class Item:
     block: int
     text: str | None = None
     link: bool = False
+    under: str = ""
+    names: tuple[str, ...] = ()
 
 
-def _kind(tag: str, attributes: str) -> str:
-    """The kind of an element that is no main text, hidden included, or the empty string."""
-    if tag in KINDS:
-        return KINDS[tag]
+def _words_of_name(value: str) -> list[str]:
+    return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w]
+
+
+def _kind(tag: str, attributes: str, inside: bool) -> tuple[str, tuple[str, ...]]:
+    """(kind, words of class, id and role) of an element: the kind says that it is no main text, hidden included, or is empty."""
+    names: list[str] = []
+    found = hidden = ""
     if attributes and tag not in ("body", "html", "article", "main"):
-        hidden = False
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id", "role"):
                 for x in value.split():
-                    ws = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) if w]
+                    ws = _words_of_name(x)
+                    names += ws
                     # A word amid others, as in content-sidebar-wrap, says little about the element.
                     for w in ws[:1] + ws[-1:]:
-                        if w in _KIND_OF:
-                            return _KIND_OF[w]
-            elif name == "hidden":
-                hidden |= value.strip().lower() != "false"
-            elif name == "aria-hidden":
-                hidden |= value.strip().lower() == "true"
-            elif name == "style":
-                hidden |= bool(_NONE.search(value))
-        if hidden:
-            return "hidden"
-    return ""
+                        if not found and w in _KIND_OF and (not inside or w in PLAIN_NAMES):
+                            found = _KIND_OF[w]
+            elif name == "hidden" and value.strip().lower() != "false" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NONE.search(value):
+                hidden = "hidden"
+    return KINDS.get(tag) or found or hidden, tuple(dict.fromkeys(names))
 
 
 def parse(page: str) -> list[Item]:
@@ -129,24 +132,26 @@ def _parse(page: str, spared: set[int]) -> tuple[list[Item], list[tuple[int, str
     """parse() with the elements at the places `spared` without a kind, and the outermost others that could be spared."""
     items: list[Item] = []
     opened: list[tuple[int, str, int, int]] = []
-    # Open elements: tag, kind of all it holds, inside main text, inside a link, and its number in opened or -1.
-    stack: list[tuple[str, str, bool, bool, int]] = []
+    # Open elements: tag, kind of all it holds, inside main text, inside a link, its number in opened or -1, the
+    # innermost block's tag and the innermost class words.
+    stack: list[tuple[str, str, bool, bool, int, str, tuple[str, ...]]] = []
     block, at, n = 0, 0, len(page)
-    kind, inside, link = "", False, False
+    top = ("", "", False, False, -1, "", ())
+    kind, inside, link, under, names = "", False, False, "", ()
 
     def text(s: str) -> None:
         if s and kind != "hidden":
             if "&" in s:
                 s = _html.unescape(s)
-            items.append(Item("", kind, inside, block, s, link))
+            items.append(Item("", kind, inside, block, s, link, under, names))
 
     def close(k: int) -> None:
-        nonlocal kind, inside, link
-        for *_, number in stack[k:]:
-            if number >= 0:
-                opened[number] = (*opened[number][:3], len(items))
+        nonlocal kind, inside, link, under, names
+        for x in stack[k:]:
+            if x[4] >= 0:
+                opened[x[4]] = (*opened[x[4]][:3], len(items))
         del stack[k:]
-        _, kind, inside, link, _ = stack[-1] if stack else ("", "", False, False, -1)
+        _, kind, inside, link, _, under, names = stack[-1] if stack else top
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -180,7 +185,9 @@ def _parse(page: str, spared: set[int]) -> tuple[list[Item], list[tuple[int, str
             if tag == "br":
                 text(" ")
             continue
-        own = "hidden" if tag in HIDDEN else _kind(tag, m[3])
+        own, own_names = _kind(tag, m[3], inside)
+        if tag in HIDDEN:
+            own = "hidden"
         could = own not in ("", "hidden") and (tag not in KINDS or KINDS[tag] == "form")
         if could and at in spared:
             own, could = "", False
@@ -205,20 +212,27 @@ def _parse(page: str, spared: set[int]) -> tuple[list[Item], list[tuple[int, str
             end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append((tag, below, inside or tag in MAIN, link or tag == "a", number))
-        _, kind, inside, link, _ = stack[-1]
+        stack.append((tag, below, inside or tag in MAIN, link or tag == "a", number, under if tag in INLINE else tag, own_names or names))
+        _, kind, inside, link, _, under, names = stack[-1]
     return items, opened
 
 
 @dataclass
 class Weights:
+    """words by (kind, place), tags by (tag, place); more by (feature, value), for pages without an article or main element."""
+
     words: dict[tuple[str, str], float]
     tags: dict[tuple[str, str], float]
+    more: dict[tuple[str, str], float] = field(default_factory=dict)
 
 
 #: Words seen (as content, as other) before any labelled page, by kind; their ratio stands in for rare kinds.
 PRIOR = {"": (40, 4), "link": (6, 6)}
 OTHER_PRIOR = (1, 40)
+#: Words of each sort seen before any labelled page, for features of pages without the label.
+MORE_PRIOR = 20
+#: What lies between two articles counts against the second by so much at most.
+MOAT = -4.0
 
 
 def _place(item: Item, labelled: bool) -> str:
@@ -226,56 +240,96 @@ def _place(item: Item, labelled: bool) -> str:
     return "" if not labelled else "in" if item.inside else "out"
 
 
-def fit(pages: list[str]) -> Weights:
-    """Log odds of words and tags to be content, from pages whose article or main element is the label.
+def _features(item: Item) -> list[tuple[str, str]]:
+    """What a text's words are told by on pages without the label, besides their kind."""
+    return [("under", item.under), *([("link", "")] if item.link else []), *(("name", w) for w in item.names)]
 
-    What stands in such an element, but not in a part of a kind that is no main text, is content. Each page is
-    counted with its label's place and without, so pages with and without such elements get weights. Pages
-    without one teach nothing. Tags score below zero whatever their odds.
+
+def count(page: str | None) -> Counter:
+    """Words and tags of a labelled page by (sort, value, place, content); nothing of other pages.
+
+    What stands in an article or main element, but not in a part of a kind that is no main text, is content. A page
+    is counted with its label's place and without, so that pages with and without such elements get weights.
     """
-    words: dict[tuple[str, str], Counter] = {}
-    tags: dict[tuple[str, str], Counter] = {}
-    for page in pages:
-        items = parse(page or "")
-        if not any(i.inside for i in items):
-            continue
-        for i in items:
-            content = i.inside and i.kind in ("", "link")
-            for place in ("", _place(i, True)):
-                if i.text is None:
-                    tags.setdefault((i.tag, place), Counter())[content] += 1
-                else:
-                    words.setdefault((i.kind, place), Counter())[content] += len(i.text.split())
+    out: Counter = Counter()
+    items = parse(page or "")
+    if not any(i.inside for i in items):
+        return out
+    for i in items:
+        content = i.inside and i.kind in ("", "link")
+        n = 1 if i.text is None else len(i.text.split())
+        for place in ("", _place(i, True)):
+            out["tag" if i.text is None else "word", i.tag if i.text is None else i.kind, place, content] += n
+        if i.text is not None:
+            for feature, value in _features(i):
+                out[feature, value, "", content] += n
+            out["all", "", "", content] += n
+    return out
+
+
+def weigh(n: Counter) -> Weights:
+    """Log odds of words and tags to be content, from the sum of count(). Tags score below zero whatever their odds."""
     out = Weights({}, {})
     kinds = {"", "link", "title", *KINDS.values(), *NAMES}
     for kind in kinds:
-        good, bad = PRIOR.get(kind, OTHER_PRIOR)
         for place in ("", "in", "out"):
-            n = words.get((kind, place), Counter())
-            g, b = (good, bad) if place != "out" else (bad, good)
-            odds = log((n[True] + g) / (n[False] + b))
-            out.words[kind, place] = max(-4.0, min(4.0, odds))
-        # Plain words of a page without such an element are content until other blocks say not.
-        out.words["", ""] = max(0.5, out.words["", ""])
-    for key, n in tags.items():
-        out.tags[key] = max(-3.0, min(-0.1, log((n[True] + 1) / (n[False] + 1))))
+            good, bad = PRIOR.get(kind, OTHER_PRIOR)
+            if place == "out" and kind in PRIOR:
+                good, bad = bad, good
+            out.words[kind, place] = max(-4.0, min(4.0, log((n["word", kind, place, True] + good) / (n["word", kind, place, False] + bad))))
+    for sort, value, place, _ in list(n):
+        if sort == "tag":
+            out.tags[value, place] = max(-3.0, min(-0.1, log((n[sort, value, place, True] + 1) / (n[sort, value, place, False] + 1))))
+    total, other = n["all", "", "", True] + MORE_PRIOR, n["all", "", "", False] + MORE_PRIOR
+    for sort, value, _, _ in list(n):
+        if sort in ("under", "link", "name"):
+            # How much more often content stands there than other words do.
+            some, rest = n[sort, value, "", True] + MORE_PRIOR * total / (total + other), n[sort, value, "", False] + MORE_PRIOR * other / (total + other)
+            out.more[sort, value] = max(-4.0, min(1.0, log(some / total) - log(rest / other)))
     return out
 
 
+def fit(pages: list[str]) -> Weights:
+    """Weights from pages whose article or main element is the label; pages without one teach nothing."""
+    return weigh(sum(map(count, pages), Counter()))
+
+
+def _score(item: Item, place: str, weights: Weights, more: dict) -> float:
+    if item.text is None:
+        return weights.tags.get((item.tag, place), -0.3)
+    own = weights.words.get((item.kind, place), -1.0)
+    if more and not place:
+        own = max(-4.0, min(4.0, own + sum(more.get(f, 0.0) for f in _features(item))))
+    return own * len(item.text.split())
+
+
 def region(items: list[Item], weights: Weights) -> tuple[int, int]:
-    """[first, end) of the items of the largest sum; of equal sums the first, and empty if none is above 0."""
+    """[first, end) of the items of the largest sum; of equal sums the first, and empty if none is above 0.
+
+    Where no words reach a sum above 0 on a page without the label, kinds alone decide; and where it has no text in
+    blocks that content is mostly in, the blocks' tags say nothing.
+    """
     labelled = any(i.inside for i in items)
-    best, here, lo = (0.0, 0, 0), 0.0, 0
-    for k, i in enumerate(items):
-        place = _place(i, labelled)
-        if i.text is None:
-            here += weights.tags.get((i.tag, place), -0.3)
-        else:
-            here += weights.words.get((i.kind, place), -1.0) * len(i.text.split())
-        if here <= 0:
-            here, lo = 0.0, k + 1
-        elif here > best[0]:
-            best = (here, lo, k + 1)
+    more = {} if labelled else weights.more
+    if more and not any(i.kind == "" and more.get(("under", i.under), 0.0) > 0 for i in items if i.text is not None and not i.text.isspace()):
+        more = {k: v for k, v in more.items() if k[0] != "under"}
+    for more in (more, {}):
+        best, here, lo, moat = (0.0, 0, 0), 0.0, 0, 0.0
+        for k, i in enumerate(items):
+            place = _place(i, labelled)
+            own = _score(i, place, weights, more)
+            if place == "out":
+                own = max(own, min(0.0, MOAT - moat))
+                moat += min(0.0, own)
+            else:
+                moat = 0.0
+            here += own
+            if here <= 0:
+                here, lo, moat = 0.0, k + 1, 0.0
+            elif here > best[0]:
+                best = (here, lo, k + 1)
+        if best[0]:
+            break
     return best[1], best[2]
 
 
@@ -283,26 +337,43 @@ def main_text(page: str | None, weights: Weights) -> str:
     """The page's main text: one line a block, white space within it as one space; empty for null or none."""
     items = parse(page or "")
     first, end = region(items, weights)
+    labelled = any(i.inside for i in items)
     blocks: dict[int, list[str]] = {}
     for i in items[first:end]:
-        if i.text is not None and i.kind in ("", "link"):
-            blocks.setdefault(i.block, []).append(i.text)
+        if i.text is not None:
+            place = _place(i, labelled)
+            # Words in links and plain words go with the region; others, and those between articles, by their weight.
+            if i.kind in ("", "link") and place != "out" or weights.words.get((i.kind, place), -1.0) > 0:
+                blocks.setdefault(i.block, []).append(i.text)
     lines = (_SPACE.sub(" ", "".join(x)).strip() for _, x in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)
 
 
 def train(pages: DataFrame, most: int = LABELLED_PAGES) -> Weights:
-    """Weights from at most `most` pages with an article or main element, the first by hash of page_id."""
-    rows = pages.select("page_id", "html").where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("page_id", "html", F.xxhash64("page_id").alias("h"))
-    first = rows.select("h", "page_id").orderBy("h", "page_id").limit(most)
-    return fit([r[0] for r in rows.join(F.broadcast(first), ["h", "page_id"], "left_semi").select("html").limit(most).collect()])
+    """Weights from at most `most` pages with an article or main element, the first by hash of page_id.
+
+    Tasks count the pages and only sums reach the driver, a row for each tag, class word and the like.
+    """
+    rows = pages.select("page_id", "html").where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64("page_id").alias("h"), F.xxhash64("page_id", "html").alias("h2"), "html")
+    first = rows.select("h", "h2").distinct().orderBy("h", "h2").limit(most)
+
+    def run(batches):
+        for b in batches:
+            n = sum((count(t.as_py()) for t in b.column(0)), Counter())
+            keys = list(zip(*n, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in keys[:3]), pa.array(keys[3], pa.bool_()), pa.array(n.values(), pa.int64())], names=["sort", "value", "place", "content", "n"])
+
+    some = rows.join(F.broadcast(first), ["h", "h2"], "left_semi").groupBy("h", "h2").agg(F.first("html").alias("html"))
+    sums = some.select("html").mapInArrow(run, "sort string, value string, place string, content boolean, n long").groupBy("sort", "value", "place", "content").agg(F.sum("n").alias("n")).collect()
+    return weigh(Counter({(r["sort"], r["value"], r["place"], r["content"]): r["n"] for r in sums}))
 
 
 def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text and n_chars (its code points) of each row of pages (page_id, url, html).
 
     Null and empty pages have empty text; repeated rows are extracted each; no rows give no rows; other columns
-    are ignored. Without weights they are fitted on a bounded sample of pages.
+    are ignored; pages of any length are taken whole, a page at a time. Without weights they are fitted on a bounded
+    sample of pages.
     """
     weights = weights or train(pages)
 

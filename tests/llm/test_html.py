@@ -72,3 +72,59 @@ def test_wrappers_and_visible_elements_keep_their_text():
     long = "<p>" + "many plain words stand here " * 20 + "</p>"
     out = html.main_text(f'<body><div class="has-sidebar">{long}<div class="sidebar"><p>Other stories</p></div></div></body>', w)
     assert out.startswith("many plain words") and "Other" not in out
+
+
+def test_odd_quotes():
+    w = html.fit(labelled())
+    for attributes in ("class=don't", "title=\"it's\" id='a\"b'", "data-x='", 'data-x="', "'", '"', "a='1'b=\"2\"", "x= 'a > b'"):
+        out = html.main_text(f"<article><p {attributes}>Hello there.</p><p>Second one.</p></article>", w)
+        assert out == "Hello there.\nSecond one.", attributes
+    assert html.main_text("<article><p " + "=' " * 20000 + ">x</p></article>", w) in ("x", "")
+
+
+def test_nothing_inside_an_article_falls_to_a_layout_word():
+    w = html.fit(labelled())
+    for attributes in ("class='bottom'", "class='discussion'", "class='search-results-analysis'", "id=header", "class=rail", "class='tabs'", "role=search"):
+        assert html.main_text(f"<article><p>One two three.</p><div {attributes}>Kept text here</div></article>", w) == "One two three.\nKept text here", attributes
+    assert html.main_text("<article><h1 class='header'>Title</h1><p>One two three.</p></article>", w) == "Title\nOne two three."
+
+
+def test_comments_weigh_below_zero_wherever_they_stand():
+    w = html.fit(labelled())
+    assert all(w.words[kind, place] < 0 for kind in ("comment", "ad", "nav", "footer", "notice") for place in ("", "in", "out"))
+    for name in ("comments", "ad"):
+        page = f"<article><p>One two three.</p></article><section><p>teaser of another story</p></section><div class='{name}'>{'many words ' * 100}</div>"
+        assert html.main_text(page, w) == "One two three."
+    second = "<p>" + "Second article text. " * 10 + "</p>"
+    page = f"<article><p>One two three four five.</p></article><div><ul>{'<li><a href=x>menu item here</a></li>' * 60}</ul></div><article>{second}</article>"
+    assert html.main_text(page, w) == "One two three four five.\n" + ("Second article text. " * 10).strip()
+
+
+def test_the_scan_removes_unnamed_parts_of_held_out_pages():
+    """Pages without an article element whose menu, advert, comments and footer have no telling names: the scan alone decides."""
+    rng = random.Random(13)
+    some = lambda n: " ".join(rng.choices(["word", "text", "story", "and", "of"], k=n))
+
+    def page(mark):
+        menu = "".join(f"<li><a href='/{k}'>{some(2)}</a></li>" for k in range(rng.randint(4, 12)))
+        story = [some(rng.randint(5, 9)) + " title"] + [some(rng.randint(8, 60)) + "." for _ in range(rng.randint(2, 7))]
+        notes = "".join(f"<div><div>{some(1)}</div><div>{some(rng.randint(2, 6))}</div></div>" for _ in range(rng.randint(0, 4)))
+        n = ("nav", "article", "ad", "comments", "footer") if mark else ("div", "div", "k1", "k2", "div")
+        body = f"<{n[0]}><ul>{menu}</ul></{n[0]}><div class={n[2]}>{some(8)}</div><{n[1]}><h1>{story[0]}</h1>" + "".join(f"<p>{p}</p>" for p in story[1:]) + f"</{n[1]}><div class={n[3]}>{notes}</div><{n[4]}>{some(6)}</{n[4]}>"
+        return f"<html><body>{body}</body></html>", "\n".join(story)
+
+    w = html.fit([page(True)[0] for _ in range(60)])
+    removed = 0
+    for _ in range(100):
+        bare, want = page(False)
+        assert html.main_text(bare, w) == want
+        items = html.parse(bare)
+        lo, hi = html.region(items, w)
+        removed += sum(i.text is not None and i.kind in ("", "link") for i in items[:lo] + items[hi:])
+    assert removed > 500
+
+
+def test_weights_fitted_in_tasks_equal_those_fitted_at_once(spark):
+    pages = labelled()
+    df = spark.createDataFrame([(k, f"u{k}", p) for k, p in enumerate(pages)] + [(3, "again", pages[3]), (50, "u", None), (51, "u", "no label")], "page_id long, url string, html string")
+    assert html.train(df) == html.fit(pages)
