@@ -8,34 +8,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import analyze as core
-from .operators.text import CharTable
 from .plans.config import Parts, Settings, assemble, dictionaries
 from .plans.dictionary import Dictionary
 
-#: Columns of tokens, in order, and how each comes from (sentence number, sentence, token number, token, mode).
+#: Columns of tokens, in order. mod2orig (how far behind the token's begin each of its normalized characters and its
+#: end come from, in code points) is made when asked for; resplit() cuts exactly by it.
 TOKENS = {
-    "sent_id": ("int", lambda i, s, k, t, m: i),
-    "sent_begin": ("int", lambda i, s, k, t, m: s.begin),
-    "tok_id": ("int", lambda i, s, k, t, m: k),
-    "begin": ("int", lambda i, s, k, t, m: t.begin),
-    "end": ("int", lambda i, s, k, t, m: t.end),
-    "begin_cp": ("int", lambda i, s, k, t, m: t.begin_cp),
-    "end_cp": ("int", lambda i, s, k, t, m: t.end_cp),
-    "surface": ("string", lambda i, s, k, t, m: t.surface),
-    "pos_id": ("smallint", lambda i, s, k, t, m: t.pos_id),
-    "pos": ("array<string>", lambda i, s, k, t, m: t.pos),
-    "normalized_form": ("string", lambda i, s, k, t, m: t.normalized_form),
-    "dictionary_form": ("string", lambda i, s, k, t, m: t.dictionary_form),
-    "reading_form": ("string", lambda i, s, k, t, m: t.reading_form),
-    "is_oov": ("boolean", lambda i, s, k, t, m: t.is_oov),
-    "dict_id": ("int", lambda i, s, k, t, m: t.dict_id),
-    "word_id": ("int", lambda i, s, k, t, m: t.word_id - (1 << 32) if t.word_id >> 31 == 1 else t.word_id),
-    "synonym_group_ids": ("array<int>", lambda i, s, k, t, m: t.synonym_group_ids),
-    "cost": ("int", lambda i, s, k, t, m: t.cost),
-    "mode": ("string", lambda i, s, k, t, m: m),
-}
+    "sent_id": "int", "sent_begin": "int", "tok_id": "int", "begin": "int", "end": "int", "begin_cp": "int", "end_cp": "int",
+    "surface": "string", "pos_id": "smallint", "pos": "array<string>", "normalized_form": "string", "dictionary_form": "string", "reading_form": "string",
+    "is_oov": "boolean", "dict_id": "int", "word_id": "int", "synonym_group_ids": "array<int>", "cost": "int", "mode": "string",
+}
+MORE = {"mod2orig": "array<int>"}
 SENTENCES = {"sent_id": "int", "sent_begin": "int", "original": "string", "modified": "string", "mod2orig": "array<int>", "path_cost": "int"}
-#: Distinct texts of a batch whose analysis is kept for their repeats.
+NORMALIZED = {"modified": "string", "mod2orig": "array<int>", "cats": "array<int>", "can_bow": "array<boolean>"}
+#: Distinct short texts of a task whose analysis is kept for their repeats.
 REMEMBERED = 2000
 #: Rows that leave a task at once.
 ROWS = 20_000
@@ -139,7 +125,7 @@ class Engine:
     # Analysis
 
     def _over_texts(self, df: DataFrame, text: str, schema: T.StructType, per_text, keep: list[str], on_error: str) -> DataFrame:
-        """df's columns `keep` with the rows that per_text(parts, text) gives for each text; streams do the same."""
+        """df's columns `keep` with the rows that per_text(parts, text) gives for each text, as lists of columns; streams do the same."""
         if on_error not in ("raise", "skip", "column"):
             raise ValueError("on_error is raise, skip or column")
         sent = self.broadcast()
@@ -152,39 +138,46 @@ class Engine:
         def run(batches):
             parts, known = sent.value, {}
             for b in batches:
-                texts = b.column(b.num_columns - 1).to_pylist()
                 # Columns that go along are taken by row number, so their values are never copied through Python.
-                at, rows, errors = [], [], []
+                at, columns, errors = [], [[] for _ in range(width)], []
 
                 def flush():
-                    new = list(zip(*rows, strict=True)) if rows else [[]] * width
                     took = b.take(pa.array(at, pa.int64()))
-                    columns = [took.column(k) for k in range(b.num_columns - 1)] + [pa.array(c, f.type) for c, f in zip(new, list(target)[len(keep) :], strict=False)]
+                    made = [took.column(k) for k in range(b.num_columns - 1)] + [pa.array(c, f.type) for c, f in zip(columns, list(target)[len(keep) :], strict=False)]
                     if on_error == "column":
-                        columns.append(pa.array(errors, pa.string()))
-                    return pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, target, strict=True)], schema=target)
-
-                for k, t in enumerate(texts):
-                    got, error = known.get(t), None
+                        made.append(pa.array(errors, pa.string()))
+                    for c in (at, errors, *columns):
+                        c.clear()
+                    return pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(made, target, strict=True)], schema=target)
+
+                for k in range(b.num_rows):
+                    t = b.column(b.num_columns - 1)[k].as_py() or ""
+                    short, error = len(t) <= 200, None
+                    got = known.get(t) if short else None
                     if got is None:
-                        try:
-                            got = list(per_text(parts, t or ""))
-                        except Exception as e:
-                            if on_error == "raise":
-                                raise
-                            got, error = ([(None,) * width], f"{type(e).__name__}: {e}") if on_error == "column" else ([], None)
-                        else:
-                            if len(known) > REMEMBERED:
-                                known.clear()
-                            if len(t or "") <= 200:
-                                known[t] = got
-                    at += [k] * len(got)
-                    rows += got
-                    errors += [error] * len(got)
-                    if len(rows) >= ROWS:
-                        yield flush()
-                        at, rows, errors = [], [], []
-                if rows:
+                        got = per_text(parts, t)
+                        if short or on_error != "raise":
+                            try:
+                                got = list(got)
+                            except Exception as e:
+                                if on_error == "raise":
+                                    raise
+                                got, error = ([[[None]] * width], f"{type(e).__name__}: {e}") if on_error == "column" else ([], None)
+                            else:
+                                if short:
+                                    if len(known) > REMEMBERED:
+                                        known.clear()
+                                    known[t] = got
+                    # A long text's sentences leave as they are analysed.
+                    for some in got:
+                        n = len(some[0])
+                        at += [k] * n
+                        errors += [error] * n
+                        for c, x in zip(columns, some, strict=True):
+                            c += x
+                        if len(at) >= ROWS:
+                            yield flush()
+                if at:
                     yield flush()
 
         return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, out)
@@ -198,46 +191,53 @@ class Engine:
         if mode not in core.MODES:
             raise ValueError(f"no mode {mode}")
         names = columns or list(TOKENS)
-        schema = T._parse_datatype_string(", ".join(f"{c} {TOKENS[c][0]}" for c in names))
-        makers = [TOKENS[c][1] for c in names]
+        kinds = TOKENS | MORE
+        schema = T._parse_datatype_string(", ".join(f"{c} {kinds[c]}" for c in names))
 
         def per_text(parts, t):
             found = core.sentences(parts, t) if sentences else [s for s in [core.one_sentence(parts, t)] if s]
-            if names == ["is_oov"]:
-                for s in found:
-                    yield from zip(s.flags(mode))
-                return
             for i, s in enumerate(found):
-                for k, token in enumerate(s.tokens(mode)):
-                    yield tuple(f(i, s, k, token, mode) for f in makers)
+                yield _columns(s, i, mode, names)
 
         keep = [c for c in df.columns if c != text] if keep is None else keep
         return self._over_texts(df, text, schema, per_text, keep, on_error)
 
-    def sentences(self, df: DataFrame, text: str = "text", keep: list[str] | None = None, on_error: str = "raise", cost: bool = False) -> DataFrame:
-        """A row for each sentence of each text: its place, original and normalized form, offsets; with cost, its path's cost."""
-        names = [c for c in SENTENCES if cost or c != "path_cost"]
+    def sentences(self, df: DataFrame, text: str = "text", keep: list[str] | None = None, on_error: str = "raise", cost: bool = False, columns: list[str] | None = None) -> DataFrame:
+        """A row for each sentence of each text: its place, original and normalized form, offsets; with cost, its path's cost.
+
+        columns picks those that are made, as in analyze().
+        """
+        names = columns or [c for c in SENTENCES if cost or c != "path_cost"]
+        cost = "path_cost" in names
         schema = T._parse_datatype_string(", ".join(f"{c} {SENTENCES[c]}" for c in names))
 
         def per_text(parts, t):
             if cost:
-                found = [(s.text, s.begin, s.path_cost()) for s in core.sentences(parts, t)]
+                found = ((s.text, s.begin, s.path_cost()) for s in core.sentences(parts, t))
             else:
                 whole = core.prepare(parts, t)
-                found = [(whole.slice(b, e), whole.source[b], None) for b, e in core.spans(parts, whole)]
+                found = ((whole.slice(b, e, parts.table), whole.places[b], None) for b, e in core.spans(parts, whole))
             for i, (x, begin, total) in enumerate(found):
-                yield (i, begin, x.original, x.text, x.source, *([total] if cost else []))
+                made = {"sent_id": i, "sent_begin": begin, "original": x.original, "modified": x.text, "path_cost": total}
+                yield [[x.source if c == "mod2orig" else made[c]] for c in names]
 
         keep = [c for c in df.columns if c != text] if keep is None else keep
         return self._over_texts(df, text, schema, per_text, keep, on_error)
 
-    def normalize(self, df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-        """A row for each text: its normalized form and where each of its characters comes from."""
-        schema = T._parse_datatype_string("modified string, mod2orig array<int>, cats array<int>, can_bow array<boolean>")
+    def normalize(self, df: DataFrame, text: str = "text", keep: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+        """A row for each text: its normalized form, where each of its characters comes from, categories, word starts; columns picks some."""
+        names = columns or list(NORMALIZED)
+        schema = T._parse_datatype_string(", ".join(f"{c} {NORMALIZED[c]}" for c in names))
 
         def per_text(parts, t):
-            x = core.prepare(parts, t)
-            yield x.text, x.source, x.cats, x.bow
+            draft = core.prepare(parts, t)
+            figures = None
+            out = []
+            for c in names:
+                if c in ("cats", "can_bow"):
+                    figures = figures or core.Text(t, draft.text, [], parts.table)
+                out.append([draft.text if c == "modified" else draft.source if c == "mod2orig" else figures.cats if c == "cats" else figures.bow])
+            yield out
 
         keep = [c for c in df.columns if c != text] if keep is None else keep
         return self._over_texts(df, text, schema, per_text, keep, "raise")
@@ -247,7 +247,7 @@ class Engine:
         import json
 
         def per_text(parts, t):
-            yield (json.dumps(core.lattice_json(parts, t), ensure_ascii=False),)
+            yield [[json.dumps(core.lattice_json(parts, t), ensure_ascii=False)]]
 
         keep = [c for c in df.columns if c != text] if keep is None else keep
         return self._over_texts(df, text, T._parse_datatype_string("lattice string"), per_text, keep, "raise")
@@ -294,16 +294,15 @@ class Engine:
 
         sent = self.broadcast()
         names = [c for c in TOKENS if c != "mode"]
-        makers = [TOKENS[c][1] for c in names]
 
         class Analyze:
             def eval(self, text, mode):
                 for i, s in enumerate(core.sentences(sent.value, text or "")):
-                    for k, t in enumerate(s.tokens(mode)):
-                        yield tuple(list(x) if isinstance(x := f(i, s, k, t, mode), tuple) else x for f in makers)
+                    for row in zip(*_columns(s, i, mode, names), strict=True):
+                        yield tuple(list(x) if isinstance(x, tuple) else x for x in row)
 
         # "end" and the like are no names in SQL without quotes.
-        schema = ", ".join(f"`{c}` {TOKENS[c][0]}" for c in names)
+        schema = ", ".join(f"`{c}` {TOKENS[c]}" for c in names)
         self.spark.udtf.register(name, udtf(Analyze, returnType=schema))
 
 
@@ -311,5 +310,12 @@ def _signed(wid: int) -> int:
     return wid - (1 << 32) if wid >> 31 else wid
 
 
-def categories_of(table: CharTable, text: str) -> list[int]:
-    return [table.of(ch) for ch in text]
+def _columns(s: core.Sentence, number: int, mode: str, names: list[str]) -> list[list]:
+    """Columns of a sentence's tokens as they go into tables."""
+    out = s.columns(mode, [c if c != "sent_id" else "tok_id" for c in names])
+    for k, c in enumerate(names):
+        if c == "sent_id":
+            out[k] = [number] * len(out[k])
+        elif c == "word_id":
+            out[k] = [-1 if i < 0 else _signed(i) for i in out[k]]
+    return out

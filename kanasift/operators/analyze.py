@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import pairwise
 
 from ..plans.dictionary import dict_of
-from .lattice import Lattice, Node
+from .lattice import Chain, Lattice, Node
 from .sentence import LIMIT, first_end
-from .text import Text, utf16_offsets
+from .text import Draft, Text, utf16_offsets
 
 MODES = ("A", "B", "C")
 
@@ -43,10 +46,18 @@ class Sentence:
 
     def __post_init__(self):
         self.lattice = Lattice(self.text, self.parts.lookup, self.parts.providers)
-        self.best = self.lattice.best()
-        self.path = self.best
+        self.pieces = self.path if self.parts.rewriters else self.lattice.pieces()
+
+    @cached_property
+    def best(self) -> list[Node]:
+        return self.lattice.best()
+
+    @cached_property
+    def path(self) -> list[Node]:
+        path = self.best
         for r in self.parts.rewriters:
-            self.path = r.rewrite(self.lattice, self.path)
+            path = r.rewrite(self.lattice, path)
+        return path
 
     def split(self, nodes: list[Node], mode: str) -> list[Node]:
         """The nodes as their units of a mode; the words of a unit take their spelt lengths from the unit's begin."""
@@ -71,80 +82,153 @@ class Sentence:
                     at = end
         return out
 
-    def tokens(self, mode: str = "C") -> list[Token]:
-        lookup, lattice, source, text = self.parts.lookup, self.lattice, self.text.source, self.text.original
-        units = utf16_offsets(text)
-        out, spans = [], []
-        for x in self.split(self.path, mode):
-            b, e = source[x.begin], source[min(x.end, len(self.text.text))]
-            if not self.parts.allow_empty and b == e and spans:
-                b, e = spans[-1]
-            spans.append((b, e))
-            wid = lookup.ids[x.place] if x.place >= 0 else -1
-            pos = lattice.pos_id(x)
-            synonyms = lookup.words[x.place].synonyms if x.place >= 0 else ()
-            out.append(Token(units[b], units[e], b, e, text[b:e], pos, lookup.pos[pos], lattice.normalized(x), lattice.dictionary_form(x), lattice.reading(x), x.oov, dict_of(wid) if wid >= 0 else -1, wid, synonyms, x.cost))
-        return out
+    def columns(self, mode: str, names: Sequence[str]) -> list[list]:
+        """The tokens of a mode as columns of these names (of COLUMNS); nothing else is made."""
+        view = View(self, mode)
+        return [COLUMNS[c](view) for c in names]
 
-    def flags(self, mode: str = "C") -> list[bool]:
-        """is_oov of each token, without the rest."""
-        return [x.oov for x in self.split(self.path, mode)]
+    def tokens(self, mode: str = "C") -> list[Token]:
+        return [Token(*x) for x in zip(*self.columns(mode, Token.__slots__), strict=True)]
 
     def path_cost(self) -> int:
         """The whole cost of the cheapest path, its ends included."""
         return self.lattice.eos.total
 
 
-def _crossing(parts, text: Text, begin: int):
+class View:
+    """A sentence's tokens in one mode, and what several columns of them are made from, each made once."""
+
+    def __init__(self, sentence: Sentence, mode: str):
+        self.sentence, self.mode, self.lattice = sentence, mode, sentence.lattice
+        self.pieces = sentence.split(sentence.pieces, mode)
+        self.chained = bool(sentence.lattice.chains)
+
+    def each(self, node: Callable[[Node], object], chain: Callable[[Chain], list]) -> list:
+        """A value for each token, from its node or as part of a chain."""
+        if not self.chained:
+            return list(map(node, self.pieces))
+        out = []
+        for x in self.pieces:
+            if isinstance(x, Chain):
+                out += chain(x)
+            else:
+                out.append(node(x))
+        return out
+
+    @cached_property
+    def sizes(self) -> list[int]:
+        return [x.hi - x.lo if isinstance(x, Chain) else 1 for x in self.pieces]
+
+    @cached_property
+    def bounds(self) -> list[tuple[int, int]]:
+        """(begin, end) of each token in the normalized text."""
+        return self.each(lambda x: (x.begin, x.end), lambda x: list(pairwise(x.bounds())))
+
+    @cached_property
+    def spans(self) -> list[tuple[int, int]]:
+        """(begin, end) in the original; unless empty ones are allowed, one without width has those of the one before."""
+        source, n, out = self.sentence.text.source, len(self.sentence.text.text), []
+        same = self.sentence.parts.allow_empty
+        for b, e in self.bounds:
+            b, e = source[b], source[min(e, n)]
+            out.append(out[-1] if b == e and not same and out else (b, e))
+        return out
+
+    @cached_property
+    def units(self) -> list[int]:
+        return utf16_offsets(self.sentence.text.original)
+
+    @cached_property
+    def ids(self) -> list[int]:
+        ids = self.sentence.parts.lookup.ids
+        return self.each(lambda x: ids[x.place] if x.place >= 0 else -1, lambda x: [-1] * (x.hi - x.lo))
+
+    @cached_property
+    def pos_ids(self) -> list[int]:
+        return self.each(self.lattice.pos_id, lambda x: [t[3] for t in x.templates()])
+
+    def forms(self, node: Callable[[Node], str]) -> list[str]:
+        text = self.sentence.text.text
+        return self.each(node, lambda x: [text[b:e] for b, e in pairwise(x.bounds())])
+
+    def same(self, node: Callable[[Node], object], value) -> list:
+        """A value for each token that is one and the same in chains."""
+        return self.each(node, lambda x: [value] * (x.hi - x.lo))
+
+
+def _offsets(v: View) -> list[list[int]]:
+    source = v.sentence.text.source
+    return [[p - source[b] for p in source[b : e + 1]] for b, e in v.bounds]
+
+
+#: How each column of tokens is made from a View.
+COLUMNS: dict[str, Callable[[View], list]] = {
+    "begin": lambda v: [v.units[b] for b, _ in v.spans],
+    "end": lambda v: [v.units[e] for _, e in v.spans],
+    "begin_cp": lambda v: [b for b, _ in v.spans],
+    "end_cp": lambda v: [e for _, e in v.spans],
+    "surface": lambda v: [v.sentence.text.original[b:e] for b, e in v.spans],
+    "pos_id": lambda v: v.pos_ids,
+    "pos": lambda v: list(map(v.sentence.parts.lookup.pos.__getitem__, v.pos_ids)),
+    "normalized_form": lambda v: v.forms(v.lattice.normalized),
+    "dictionary_form": lambda v: v.forms(v.lattice.dictionary_form),
+    "reading_form": lambda v: v.same(v.lattice.reading, ""),
+    "is_oov": lambda v: v.same(lambda x: x.oov, True),
+    "dict_id": lambda v: [dict_of(i) if i >= 0 else -1 for i in v.ids],
+    "word_id": lambda v: v.ids,
+    "synonym_group_ids": lambda v: v.same(lambda x: v.sentence.parts.lookup.words[x.place].synonyms if x.place >= 0 else (), ()),
+    "cost": lambda v: v.each(lambda x: x.cost, lambda x: [t[2] for t in x.templates()]),
+    "mod2orig": _offsets,
+    "mode": lambda v: [v.mode] * sum(v.sizes),
+    "tok_id": lambda v: list(range(sum(v.sizes))),
+    "sent_begin": lambda v: [v.sentence.begin] * sum(v.sizes),
+}
+
+
+def _crossing(parts, text: str, begin: int):
     """Whether a dictionary word that begins in the last 64 bytes before an end crosses it, or ends there with two characters or more."""
+    starts = parts.lookup.starts
 
     def crossed(length: int) -> bool:
         end = begin + length
-        first = text.at_byte(max(0, text.byte[end] - 64))
-        if text.byte[first] < text.byte[end] - 64:
-            first += 1
-        for k in range(first, end):
-            for stop, _ in parts.lookup.prefixes(text.text, k):
-                if stop > end or stop == end and end - k > 1:
-                    return True
+        room, k = 64, end
+        while k and room > 0:
+            k -= 1
+            room -= 1 if text[k] < "\x80" else 2 if text[k] < "\u0800" else 3 if text[k] < "\U00010000" else 4
+            if room >= 0 and text[k] in starts and any(stop > end or stop == end and end - k > 1 for stop, _ in parts.lookup.prefixes(text, k)):
+                return True
         return False
 
     return crossed
 
 
-def spans(parts, text: Text, limit: int = LIMIT) -> list[tuple[int, int]]:
+def spans(parts, text: Draft, limit: int = LIMIT) -> Iterator[tuple[int, int]]:
     """[begin, end) of the sentences of a normalized text; what has no end in it is the last one."""
-    out, begin, n = [], 0, len(text.text)
+    begin, n = 0, len(text.text)
     while begin < n:
         # One character more than are searched says that the text goes on.
-        length = first_end(text.text[begin : begin + limit + 1], limit, _crossing(parts, text, begin))
-        if length <= 0:
-            break
-        end = begin + length
-        if end < n:
-            end = text.original_end(end)
-        out.append((begin, end))
+        length = first_end(text.text[begin : begin + limit + 1], limit, _crossing(parts, text.text, begin))
+        end = text.original_end(begin + length) if 0 < length < n - begin else n
+        yield begin, end
         begin = end
-    if begin < n:
-        out.append((begin, n))
-    return out
 
 
-def prepare(parts, text: str) -> Text:
-    return Text.of(text, parts.inputs, parts.table)
+def prepare(parts, text: str) -> Draft:
+    """The normalized text and where its characters come from."""
+    return Draft.by(text, parts.inputs, parts.table)
 
 
 def one_sentence(parts, text: str) -> Sentence | None:
     """A whole text as one sentence; None if it is empty."""
-    return Sentence(parts, prepare(parts, text)) if text else None
+    return Sentence(parts, Text.of(text, parts.inputs, parts.table)) if text else None
 
 
-def sentences(parts, text: str, limit: int = LIMIT) -> list[Sentence]:
-    """A text's sentences, each analysed by itself."""
-    if not text:
-        return []
-    whole = prepare(parts, text)
-    return [Sentence(parts, whole.slice(b, e) if (b, e) != (0, len(whole.text)) else whole, whole.source[b]) for b, e in spans(parts, whole, limit) if whole.text[b:e]]
+def sentences(parts, text: str, limit: int = LIMIT) -> Iterator[Sentence]:
+    """A text's sentences, each analysed by itself when it is asked for, so that one lattice is held at a time."""
+    if text:
+        whole = prepare(parts, text)
+        for b, e in spans(parts, whole, limit):
+            yield Sentence(parts, whole.slice(b, e, parts.table), whole.places[b])
 
 
 def resplit(parts, place: int, begin: int, mode: str) -> list[tuple[int, int, int]]:

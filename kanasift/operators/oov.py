@@ -1,11 +1,17 @@
-"""Candidates for words that no dictionary has. A provider's candidates() gives (end, left, right, cost, pos_id)."""
+"""Candidates for words that no dictionary has. A provider's candidates() gives (end, left, right, cost, pos_id).
+
+A provider may have only() as well: where a text falls into stretches of which each is the sole candidate at its
+begin, as long as no dictionary word begins there.
+"""
 
 from __future__ import annotations
 
 import re
 
-from .lattice import MOST, Lattice, length_bit
-from .text import CATEGORIES
+import numpy as np
+
+from .lattice import MOST, Lattice, Only, length_bit
+from .text import CATEGORIES, Text
 
 
 class Templates:
@@ -19,21 +25,34 @@ class Templates:
             raise ValueError(f"templates of undefined categories: {sorted(unknown)}")
         self.kinds = [(bit, *properties[bit], templates[bit]) for bit in sorted(CATEGORIES.values()) if bit in properties and bit in templates]
 
+        #: The one template of a set of categories where a whole run is the only candidate, by its number.
+        self.templates, self.alone = [], {}
+
+    def only(self, text: Text) -> Only:
+        """The runs of a text, and the template where nothing else than the whole run is offered."""
+        cuts = text.runs
+        kinds, numbers = text.categories[cuts], []
+        values, inverse = np.unique(kinds, return_inverse=True)
+        for cats in values.tolist():
+            if cats not in self.alone:
+                found = [x for x in self.kinds if cats & x[0]]
+                single = len(found) == 1 and found[0][2] and not found[0][3] and len(found[0][4]) == 1
+                self.alone[cats] = len(self.templates) if single else -1
+                self.templates += found[0][4] if single else []
+            numbers.append(self.alone[cats])
+        # A run's end counts if a word may begin there.
+        return Only(cuts, np.where(text.begins[cuts], np.array(numbers, np.int64)[inverse], -1), self.templates)
+
     def candidates(self, lattice: Lattice, at: int, mask: int):
         text = lattice.text
-        cats, end = text.cats[at], text.run_end[at]
+        cats, end, out = text.cats[at], text.run_end[at], []
         for bit, always, group, length, templates in self.kinds:
             if cats & bit and (always or not mask):
-                last = end
                 if group:
-                    for t in templates:
-                        yield (end, *t)
-                    last -= 1
-                for k in range(1, length + 1):
-                    if at + k > last:
-                        break
-                    for t in templates:
-                        yield (at + k, *t)
+                    out += [(end, *t) for t in templates]
+                for stop in range(at + 1, min(at + length, end - group) + 1):
+                    out += [(stop, *t) for t in templates]
+        return out
 
 
 class Simple:
@@ -42,9 +61,13 @@ class Simple:
     def __init__(self, left: int, right: int, cost: int, pos_id: int):
         self.template = (left, right, cost, pos_id)
 
+    def only(self, text: Text) -> Only:
+        """All places where a word may begin."""
+        cuts = np.flatnonzero(text.begins)
+        return Only(cuts, np.zeros(len(cuts), np.int64), [self.template])
+
     def candidates(self, lattice: Lattice, at: int, mask: int):
-        if not mask:
-            yield (lattice.text.next_bow(at), *self.template)
+        return () if mask else [(lattice.text.following[at], *self.template)]
 
 
 class Pattern:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .lattice import Lattice, Node
-from .numeral import Parser
+from .numeral import read
 from .text import KATAKANA, NOOOVBOW, NUMBERS
 
 
@@ -17,55 +17,68 @@ def joined(lattice: Lattice, nodes: list[Node], normalized: str | None = None) -
 class JoinNumbers:
     """Runs of numeric nodes that read as one numeral become one node with its plain decimal form.
 
-    A point or comma that breaks a numeral is taken as punctuation and the run is read again without it.
+    A run is as many nodes in a row as are digits, units, points and commas. A point or comma that breaks the
+    numeral is punctuation from there to the next word, and the run ends before it; a digit or unit that does not
+    fit ends it too, and what came before stays apart.
     """
 
     def __init__(self, pos_id: int, normalize: bool = True):
         self.pos_id, self.normalize = pos_id, normalize
 
-    def _join(self, lattice: Lattice, path: list[Node], begin: int, end: int, value: str) -> bool:
-        first = path[begin]
-        if lattice.pos_id(first) != self.pos_id or not (end - begin > 1 or self.normalize and value != lattice.normalized(first)):
-            return False
-        path[begin:end] = [joined(lattice, path[begin:end], value if self.normalize else None)]
-        return True
-
-    def _close(self, lattice: Lattice, path: list[Node], begin: int, end: int, parser: Parser) -> int:
-        """Joins a run that has ended; where reading goes on."""
-        if parser.end():
-            self._join(lattice, path, begin, end, parser.value())
-            return begin + 2
-        last = lattice.normalized(path[end - 1])
-        if (parser.error, last) in (("comma", ","), ("point", ".")):
-            if end - 1 > begin:
-                self._join(lattice, path, begin, end - 1, parser.value())
-            return begin + 3
-        return end + 1
+    def _one(self, lattice: Lattice, run: list[Node], value: str) -> list[Node] | None:
+        """The run as one node, or None if it stays as it is."""
+        first = run[0]
+        if lattice.pos_id(first) != self.pos_id or len(run) == 1 and (not self.normalize or value == lattice.normalized(first)):
+            return None
+        return [joined(lattice, run, value if self.normalize else None)]
 
     def rewrite(self, lattice: Lattice, path: list[Node]) -> list[Node]:
-        path, k, begin, parser = list(path), 0, None, Parser()
-        digits = {",": True, ".": True}
-        while k < len(path):
-            s = lattice.normalized(path[k])
-            if lattice.text.span_cats(path[k].begin, path[k].end) & NUMBERS or digits.get(s, False):
-                if begin is None:
-                    begin, parser = k, Parser()
-                if not all(map(parser.add, s)):
-                    if parser.error:
-                        digits["," if parser.error == "comma" else "."] = False
-                        k = begin - 1
-                    begin = None
-                k += 1
+        forms = [lattice.normalized(x) for x in path]
+        numeric = [bool(lattice.text.span_cats(x.begin, x.end) & NUMBERS) for x in path]
+        if not any(numeric) and not {",", "."} & set(forms):
+            return path
+        out: list[Node] = []
+        at, n, punctuation = 0, len(path), set()
+
+        def keep(until: int) -> int:
+            out.extend(path[at:until])
+            return until
+
+        while at < n:
+            end = at
+            while end < n and (numeric[end] or forms[end] in (",", ".") and forms[end] not in punctuation):
+                end += 1
+            if end == at:
+                punctuation &= {forms[at]}
+                at = keep(at + 1)
                 continue
-            following = k + 1
-            if begin is not None:
-                following = self._close(lattice, path, begin, k, parser)
-                begin = None
-            digits = {mark: on or s != mark for mark, on in digits.items()}
-            k = following
-        if begin is not None:
-            self._close(lattice, path, begin, len(path), parser)
-        return path
+            found = read("".join(forms[at:end]))
+            bad, chars = at, found.at
+            while found.value is None and bad < end and chars >= len(forms[bad]):
+                chars -= len(forms[bad])
+                bad += 1
+            if found.value is None and bad < end:
+                if found.fault:
+                    punctuation.add("," if found.fault == "comma" else ".")
+                else:
+                    at = keep(bad + 1)
+                continue
+            # The run is whole, or only its end is wrong: then a mark that hangs there is left out.
+            last = end if found.value is not None else end - 1
+            if found.value is None and (found.fault, forms[last]) not in (("comma", ","), ("point", ".")):
+                last = at
+            following = end + 1
+            if last > at:
+                if one := self._one(lattice, path[at:last], found.before if found.value is None else found.value):
+                    out += one
+                    at = last
+                elif last - at > 1:
+                    # The first word is no numeral: reading goes on behind the second, or the mark behind that.
+                    following = at + 2 + (last < end)
+            if end < n:
+                punctuation &= {forms[end]}
+            at = keep(min(following, n) if end < n else n)
+        return out
 
 
 class JoinKatakana:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 #: Characters of a text that are searched for a break.
 LIMIT = 4096
@@ -14,22 +14,30 @@ LETTERS = "a-zA-Z0-9ａ-ｚＡ-Ｚ０-９〇一二三四五六七八九十百千
 OPENING, CLOSING = "({｛[（「【『［≪〔“", ")}]）」｝】』］〕≫”"
 
 _close = re.escape(CLOSING)
-_BREAK = re.compile(rf"(?:[{PERIODS}]|{MIDDLE}{{3,}}|(?<![{LETTERS}])[{DOTS}](?![{LETTERS}{COMMAS}]))[{DOTS}{PERIODS}]*|(?:<br>|<BR>){{2,}}")
-_ABSORBED = re.compile(rf"[{_close}{COMMAS}{PERIODS}]+")
+#: All that a search for an end stops at: a break, or a bracket that opens or closes.
+_STOP = re.compile(rf"(?P<opens>[{re.escape(OPENING)}])|(?P<closes>[{_close}])|(?P<ends>(?:[{PERIODS}]|{MIDDLE}{{3,}}|(?<![{LETTERS}])[{DOTS}](?![{LETTERS}{COMMAS}]))[{DOTS}{PERIODS}]*|(?:<br>|<BR>){{2,}})")
+#: What belongs to the sentence that ends before it.
+_TAIL = re.compile(rf"[{_close}{COMMAS}{PERIODS}]*")
 _ITEM = re.compile(rf"[{LETTERS}][{DOTS}]")
-_QUOTED = re.compile(rf"[！？!?{_close}](?:と|っ|です)")
-_FIRST_LINE = re.compile(r"[^\n\r\u0085  ]+[ \t\n\x0b\f\r]+")
+#: An end that the text goes on from: a quotation or exclamation with a particle, an item's mark with one.
+_GOES_ON = re.compile(rf"(?<=[！？!?{_close}])(?:と|っ|です)|(?<=[{LETTERS}][{DOTS}])[とやの]")
+_FIRST_LINE = re.compile(r"[^\n\r\u0085\u2028\u2029]+[ \t\n\x0b\f\r]+")
 
 
-def depth(text: str) -> int:
-    """Open brackets, never below none."""
+def ends(text: str, limit: int = LIMIT) -> Iterator[int]:
+    """The ends of sentences in a text that begins one, taken alone: outside brackets, not behind an item's mark only,
+    not where the text goes on."""
+    text = text[:limit]
     level = 0
-    for ch in text:
-        if ch in OPENING:
+    for stop in _STOP.finditer(text):
+        if stop["opens"]:
             level += 1
-        elif ch in CLOSING:
+        elif stop["closes"]:
             level = max(0, level - 1)
-    return level
+        elif not level:
+            end = _TAIL.match(text, stop.end()).end()
+            if not _ITEM.fullmatch(text, 0, end) and not _GOES_ON.match(text, end):
+                yield end
 
 
 def first_end(text: str, limit: int = LIMIT, crossed: Callable[[int], bool] | None = None) -> int:
@@ -37,22 +45,8 @@ def first_end(text: str, limit: int = LIMIT, crossed: Callable[[int], bool] | No
 
     crossed says whether a dictionary word stands across an end, which then is none.
     """
-    if not text:
-        return 0
-    s = text[:limit]
-    for m in _BREAK.finditer(s):
-        end = m.end()
-        if depth(s[:end]):
-            continue
-        if more := _ABSORBED.match(s, end):
-            end = more.end()
-        if _ITEM.fullmatch(s, 0, end):
-            continue
-        if end < len(s) and (_QUOTED.match(s, end - 1) or s[end] in "とやの" and end > 1 and _ITEM.fullmatch(s, end - 2, end)):
-            continue
-        if crossed and crossed(end):
-            continue
-        return end
-    if len(text) > limit and (m := _FIRST_LINE.search(s)):
-        return -m.end()
-    return -len(s)
+    found = next((end for end in ends(text, limit) if not (crossed and crossed(end))), None)
+    if found is not None:
+        return found
+    line = _FIRST_LINE.search(text[:limit]) if len(text) > limit else None
+    return -(line.end() if line else min(len(text), limit))

@@ -6,6 +6,8 @@ from array import array
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+
 POS = tuple[str, str, str, str, str, str]
 #: A connection of this cost is inhibited.
 INHIBITED = 32767
@@ -93,7 +95,9 @@ class Lookup:
     ids: list[int] = field(default_factory=list)
     first: list[int] = field(default_factory=list)  # of each dictionary: its first word's place
     keys: list[dict[str, list[int]]] = field(default_factory=list)
-    lengths: list[dict[str, list[int]]] = field(default_factory=list)
+    #: By first character: (headwords, their lengths) of each dictionary that has some, later dictionaries first.
+    starts: dict[str, list[tuple[dict[str, list[int]], list[int]]]] = field(default_factory=dict)
+    _begins: tuple[int, np.ndarray] | None = field(default=None, compare=False, repr=False)
 
     @classmethod
     def of(cls, system: Dictionary) -> Lookup:
@@ -115,7 +119,20 @@ class Lookup:
         for k in keys:
             lengths.setdefault(k[0], set()).add(len(k))
         self.keys.append(keys)
-        self.lengths.append({k: sorted(v) for k, v in lengths.items()})
+        for k, v in lengths.items():
+            self.starts.setdefault(k, []).insert(0, (keys, sorted(v)))
+
+    @property
+    def begins(self) -> np.ndarray:
+        """Of each code point, whether a headword begins with it; made when first asked for and never sent along."""
+        if self._begins is None or self._begins[0] != len(self.keys):
+            out = np.zeros(0x110000, bool)
+            out[[ord(ch) for ch in self.starts]] = True
+            self._begins = len(self.keys), out
+        return self._begins[1]
+
+    def __getstate__(self):
+        return {**self.__dict__, "_begins": None}
 
     def pos_id(self, pos: Iterable[str]) -> int:
         """The number of a part of speech, or -1."""
@@ -171,9 +188,9 @@ class Lookup:
 
     def prefixes(self, text: str, at: int):
         """(end, places) of all headwords that begin at `at`: later dictionaries first, in each the shortest first."""
-        for d in range(len(self.keys) - 1, -1, -1):
-            for size in self.lengths[d].get(text[at], ()):
-                if at + size <= len(text) and (found := self.keys[d].get(text[at : at + size])):
+        for keys, sizes in self.starts.get(text[at], ()):
+            for size in sizes:
+                if at + size <= len(text) and (found := keys.get(text[at : at + size])):
                     yield at + size, found
 
     def find(self, headword: str, pos_id: int, reading: str) -> int:

@@ -27,9 +27,9 @@ def cut(parts, buffer: str, final: bool = False) -> tuple[list[tuple[str, list[s
         last = e == len(whole.text)
         if last and not final and len(buffer) - taken < LIMIT:
             break
-        s = core.Sentence(parts, whole.slice(b, e), whole.source[b])
+        s = core.Sentence(parts, whole.slice(b, e, parts.table), whole.places[b])
         out.append((s.text.original, [t.surface for t in s.tokens()]))
-        taken = whole.source[e]
+        taken = whole.places[e]
     return out, buffer[taken:]
 
 
