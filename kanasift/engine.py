@@ -252,11 +252,12 @@ class Engine:
         keep = [c for c in df.columns if c != text] if keep is None else keep
         return self._over_texts(df, text, T._parse_datatype_string("lattice string"), per_text, keep, "raise")
 
-    def resplit(self, tokens: DataFrame, mode: str) -> DataFrame:
+    def resplit(self, tokens: DataFrame, mode: str, by: list[str] | None = None) -> DataFrame:
         """tokens (of mode C) in a finer mode, from the dictionary alone; C gives them back.
 
-        A join with the lexicon: the words of a unit take their lengths in order, and surfaces are cut from the
-        token's own. Where normalization changed lengths, analyze() in the finer mode gives exact offsets.
+        A join with the lexicon: the words of a unit take their spelt lengths in order. With the column mod2orig of
+        analyze() they are cut exactly where normalization changed lengths; without it lengths are taken as unchanged.
+        by names the columns that tell documents apart, for the new tok_id: all that are no token's, unless told.
         """
         if mode not in core.MODES:
             raise ValueError(f"no mode {mode}")
@@ -273,15 +274,23 @@ class Engine:
                     one = len(ids) == 1
                     rows.append((_signed(lookup.ids[place]), n, None if one else b, None if one else e, u.pos_id, list(lookup.pos[u.pos_id]), u.normalized, lookup.dictionary_form(p), u.reading, wid >> 28, _signed(wid), list(u.synonyms)))
         units = self.spark.createDataFrame(rows, "word_id int, u_n int, u_b int, u_e int, u_pos_id smallint, u_pos array<string>, u_norm string, u_form string, u_read string, u_dict int, u_word int, u_syn array<int>")
-        x = tokens.join(F.broadcast(units), "word_id", "left")
+        # As large as the dictionaries: Spark broadcasts it if it is small.
+        x = tokens.join(units, "word_id", "left")
         moved = F.col("u_b").isNotNull()
-        pick = {"surface": F.when(moved, F.substring("surface", F.col("u_b") + 1, F.col("u_e") - F.col("u_b"))).otherwise(F.col("surface")), "begin": F.when(moved, F.col("begin") + F.col("u_b")).otherwise(F.col("begin")), "end": F.when(moved, F.col("begin") + F.col("u_e")).otherwise(F.col("end")), "begin_cp": F.when(moved, F.col("begin_cp") + F.col("u_b")).otherwise(F.col("begin_cp")), "end_cp": F.when(moved, F.col("begin_cp") + F.col("u_e")).otherwise(F.col("end_cp"))}
+        if "mod2orig" in tokens.columns:
+            exact = lambda c: F.get("mod2orig", F.least(F.col(c), F.size("mod2orig") - 1))
+            x = x.withColumn("__b", F.when(moved, exact("u_b"))).withColumn("__e", F.when(moved, exact("u_e")))
+            offsets = F.slice("mod2orig", F.least(F.col("u_b"), F.size("mod2orig") - 1) + 1, F.col("u_e") - F.col("u_b") + 1)
+            x = x.withColumn("mod2orig", F.when(moved, F.transform(offsets, lambda p: p - F.col("__b"))).otherwise(F.col("mod2orig"))).drop("u_b", "u_e").withColumnsRenamed({"__b": "u_b", "__e": "u_e"})
+        # begin and end count UTF-16 units.
+        wide = lambda n: (F.octet_length(F.encode(F.substring("surface", F.lit(1), n), "UTF-16BE")) / 2).cast("int")
+        pick = {"surface": F.when(moved, F.substring("surface", F.col("u_b") + 1, F.col("u_e") - F.col("u_b"))).otherwise(F.col("surface")), "begin": F.when(moved, F.col("begin") + wide(F.col("u_b"))).otherwise(F.col("begin")), "end": F.when(moved, F.col("begin") + wide(F.col("u_e"))).otherwise(F.col("end")), "begin_cp": F.when(moved, F.col("begin_cp") + F.col("u_b")).otherwise(F.col("begin_cp")), "end_cp": F.when(moved, F.col("begin_cp") + F.col("u_e")).otherwise(F.col("end_cp"))}
         for c, u in (("pos_id", "u_pos_id"), ("pos", "u_pos"), ("normalized_form", "u_norm"), ("dictionary_form", "u_form"), ("reading_form", "u_read"), ("dict_id", "u_dict"), ("word_id", "u_word"), ("synonym_group_ids", "u_syn")):
             pick[c] = F.coalesce(u, c)
         pick["mode"] = F.lit(mode)
         # The token's number becomes that of its first unit among the finer tokens of its sentence.
         order = F.struct("tok_id", F.coalesce("u_n", F.lit(0)).alias("n"))
-        keys = [c for c in tokens.columns if c not in TOKENS] + (["sent_id"] if "sent_id" in tokens.columns else [])
+        keys = (by or [c for c in tokens.columns if c not in TOKENS and c not in MORE]) + (["sent_id"] if "sent_id" in tokens.columns else [])
         if "tok_id" in tokens.columns:
             from pyspark.sql import Window
 

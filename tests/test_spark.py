@@ -205,3 +205,15 @@ def test_query_equals_sql(spark, name):
     want = con.execute(sql).df()
     key = lambda x: sorted(map(repr, x[sorted(x.columns)].astype(object).itertuples(index=False, name=None)))
     assert sorted(rows.columns) == sorted(want.columns) and key(rows) == key(want)
+
+
+def test_resplit_is_exact_where_normalization_changed_lengths(spark):
+    from kanasift.engine import TOKENS, Engine
+
+    e = Engine(spark, sample.parts({"pathRewritePlugin": []}, 0))
+    docs = spark.createDataFrame([(1, "東ー〜京都東京都に"), (2, "東京都"), (3, "😀東京都㈱東京（とうきょう）都"), (4, "な。な。東京(とう)都に行った")], "doc_id long, text string")
+    stored = e.analyze(docs, columns=[*TOKENS, "mod2orig"])
+    columns = [c for c in TOKENS if c != "cost"]
+    for mode in ("A", "B"):
+        got = sorted(map(tuple, e.resplit(stored, mode).select("doc_id", *columns).collect()), key=repr)
+        assert got == sorted(map(tuple, e.analyze(docs, mode=mode).select("doc_id", *columns).collect()), key=repr)
