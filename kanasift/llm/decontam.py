@@ -225,7 +225,7 @@ def _candidates(lists: Lists, ids: np.ndarray, begin: np.ndarray, base: np.ndarr
         pair = pair[first]
         pair = pair[bound + lists.rest[pair % lists.blocks] >= retrieve - 1e-6]
         places, starts = np.unique(pair // lists.blocks, return_index=True)
-        for p, x, y in zip(places.tolist(), starts.tolist(), [*starts[1:].tolist(), len(pair)], strict=True):
+        for p, x, y in zip(places.tolist(), starts.tolist(), np.append(starts, len(pair))[1:].tolist(), strict=True):
             t = int(np.searchsorted(base, p, side="right")) - 1
             yield t, int(begin[t]) + (p - int(base[t])) * lists.stride, pair[x:y] % lists.blocks
         lo = hi

@@ -131,3 +131,9 @@ def test_a_leak_without_its_short_answer_is_found(spark):
     bench = spark.createDataFrame([(1, text)], ITEMS)
     docs = spark.createDataFrame([(1, "before it " + text.removesuffix("Yes") + "No and so on"), (2, " ".join(text.split()[:9]))], DOCS)
     assert [r["doc_id"] for r in decontam.leaks(docs, bench).collect()] == [1]
+
+
+def test_passages_that_reach_no_threshold():
+    index = decontam.build([(k, f"rare{k} other{k} third{k} fourth{k} fifth{k} sixth{k}") for k in range(30)])
+    assert decontam.search(index, [["rare1"], ["nothing"], [], ["rare2", "x"] * 90]) == []
+    assert decontam.search(index, []) == [] and decontam.matches(index, [None, "", "rare1"]) == []
