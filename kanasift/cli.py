@@ -1,6 +1,6 @@
 """Command line: analyse text, build, print and describe dictionaries.
 
-    python -m kanasift analyze [-m A|B|C] [-a] [-s] [-d] [-t | -ts] [-f] [-r SETTINGS] [-p FOLDER] [-o FILE] [FILE ...]
+    python -m kanasift analyze [-m A|B|C] [-a] [-s] [-d] [-t | -ts] [-f] [--format NAME] [-r SETTINGS] [-p FOLDER] [-o FILE] [FILE ...]
     python -m kanasift build -o FOLDER -m MATRIX [-d DESCRIPTION] CSV ...
     python -m kanasift ubuild -o FOLDER -s SYSTEM [-d DESCRIPTION] CSV ...
     python -m kanasift dump|header FOLDER
@@ -12,10 +12,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import datetime, timezone
 
 from .operators import analyze as core
-from .plans.config import Anchor, Settings, assemble, dictionaries
-from .sources import definitions, lexicon
+from .operators.formats import formatter
+from .plans.config import Anchor, Settings, assemble, dictionaries, is_file, load_dictionary, read_bytes
+from .plans.progress import Progress, statistics
+from .sources import binary, definitions, lexicon
 
 
 def _session():
@@ -36,21 +39,11 @@ def _parts(args):
     return assemble(settings, *dictionaries(_session(), settings))
 
 
-def lines_of(parts, line: str, mode: str, details: bool = False, wakati: bool = False, one_line: bool = False) -> list[str]:
-    """What one input line gives: a line a token and EOS a sentence, or the surfaces of each sentence (or of all) in a line."""
-    found = [s.tokens(mode) for s in core.sentences(parts, line)]
-    if wakati:
-        words = [" ".join(t.surface for t in s if t.surface not in ("", " ")) for s in found]
-        return [" ".join(words)] if one_line else words
-    out = []
-    for s in found:
-        for t in s:
-            row = [t.surface, ",".join(t.pos), t.normalized_form]
-            if details:
-                row += [t.dictionary_form, t.reading_form, str(t.dict_id), "[" + ", ".join(map(str, t.synonym_group_ids)) + "]", *(["(OOV)"] if t.is_oov else [])]
-            out.append("\t".join(row))
-        out.append("EOS")
-    return out
+def lines_of(parts, line: str, mode: str, details: bool = False, wakati: bool = False, one_line: bool = False, style=None) -> list[str]:
+    """What one input line gives: its sentences in a format, a line a token and EOS unless told; one_line joins them."""
+    made = formatter(style or ("wakati" if wakati else "detailed" if details else "tabular"))
+    found = [made(s.tokens(mode)) for s in core.sentences(parts, line)]
+    return [" ".join(found)] if one_line and wakati else [x for text in found for x in text.split("\n")]
 
 
 def _analyze(args) -> int:
@@ -64,7 +57,7 @@ def _analyze(args) -> int:
                         line = line.rstrip("\r\n")
                         if args.debug:
                             print("\n".join(core.lattice_text(parts, line)), file=out)
-                        for x in lines_of(parts, line, args.mode, args.all, args.t or args.ts, args.t):
+                        for x in lines_of(parts, line, args.mode, args.all, args.t or args.ts, args.t, args.format):
                             print(x, file=out)
                     except Exception as e:
                         if not args.ignore_errors:
@@ -96,6 +89,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("-f", dest="ignore_errors", action="store_true")
     a.add_argument("-t", action="store_true")
     a.add_argument("-ts", action="store_true")
+    a.add_argument("--format", help="tabular, detailed, wakati, or module:function of tokens")
     a.add_argument("files", nargs="*")
     for name in ("build", "ubuild"):
         b = sub.add_parser(name)
@@ -109,18 +103,32 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "analyze":
         return _analyze(args)
     spark = _session()
-    if args.command == "build":
-        d = lexicon.build_system([_read(f) for f in args.files], definitions.read_matrix(_read(args.base)), args.description)
-        lexicon.save(spark, d, args.output)
-    elif args.command == "ubuild":
-        lexicon.save(spark, lexicon.build_user(lexicon.load(spark, args.base), [_read(f) for f in args.files], args.description), args.output)
+    if args.command in ("build", "ubuild"):
+        progress = Progress(lambda stage, n, seconds: print(f"{stage}: {n} in {seconds:.1f} s", file=sys.stderr))
+        texts = [progress.step("read", lambda f=f: _read(f), len) for f in args.files]
+        if args.command == "build":
+            d = progress.step("build", lambda: lexicon.build_system(texts, definitions.read_matrix(_read(args.base)), args.description), lambda d: len(d.words))
+        else:
+            d = progress.step("build", lambda: lexicon.build_user(load_dictionary(spark, args.base), texts, args.description), lambda d: len(d.words))
+        progress.step("write", lambda: lexicon.save(spark, d, args.output), lambda _: len(d.words))
+        for name, n in statistics(d).items():
+            print(f"{name}: {n}", file=sys.stderr)
     elif args.command == "dump":
-        print("\n".join(lexicon.dump(lexicon.load(spark, args.path))))
+        print("\n".join(lexicon.dump(load_dictionary(spark, args.path))))
     else:
         try:
-            m = spark.read.parquet(f"{args.path}/dict_meta").first()
+            user, created, description = _header(spark, args.path)
         except Exception:
             print(f"{args.path}: invalid dictionary")
             return 1
-        print(f"filename: {args.path}\ntype: {'user' if m['is_user'] else 'system'} dictionary\ncreateTime: {m['created'].isoformat()}\ndescription: {m['description']}")
+        print(f"filename: {args.path}\ntype: {'user' if user else 'system'} dictionary\ncreateTime: {created.isoformat()}\ndescription: {description}")
     return 0
+
+
+def _header(spark, path: str) -> tuple[bool, datetime, str]:
+    """Whether a dictionary is a user's, when it was made, and its description: of a folder of tables or a binary file."""
+    if is_file(path):
+        head = binary.header(read_bytes(path))
+        return head["is_user"], datetime.fromtimestamp(head["created"], timezone.utc), head["description"]
+    m = spark.read.parquet(f"{path}/dict_meta").first()
+    return m["is_user"], m["created"], m["description"]

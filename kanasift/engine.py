@@ -242,6 +242,19 @@ class Engine:
         keep = [c for c in df.columns if c != text] if keep is None else keep
         return self._over_texts(df, text, schema, per_text, keep, "raise")
 
+    def format(self, df: DataFrame, text: str = "text", mode: str = "C", style="tabular", keep: list[str] | None = None, on_error: str = "raise") -> DataFrame:
+        """A row for each sentence of each text: its number and its tokens in a format (see operators.formats), made where they are analysed."""
+        from .operators.formats import formatter
+
+        made = formatter(style)
+
+        def per_text(parts, t):
+            for i, s in enumerate(core.sentences(parts, t)):
+                yield [[i], [made(s.tokens(mode))]]
+
+        keep = [c for c in df.columns if c != text] if keep is None else keep
+        return self._over_texts(df, text, T._parse_datatype_string("sent_id int, formatted string"), per_text, keep, on_error)
+
     def lattice(self, df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
         """A row for each text: its lattice and paths as JSON."""
         import json

@@ -82,10 +82,13 @@ def format_tokens(tokens: DataFrame, by: list[str], details: bool = False, end:
 
 
 def wakati(tokens: DataFrame, by: list[str], delimiter: str = " ") -> DataFrame:
-    """A row for each sentence: its surfaces with a delimiter between; empty ones and those equal to it are left out."""
-    kept = tokens.where((F.col("surface") != "") & (F.col("surface") != delimiter))
-    words = kept.groupBy(*by, "sent_id").agg(_in_order(F.col("surface"), ["tok_id"]).alias("w"))
-    return words.select(*by, "sent_id", F.array_join("w", delimiter).alias("segmented"))
+    """A row for each sentence: its surfaces with a delimiter between; empty ones and those equal to it are left out.
+
+    A sentence of nothing else has an empty line.
+    """
+    kept = F.when((F.col("surface") != "") & (F.col("surface") != delimiter), F.struct("tok_id", "surface"))
+    words = tokens.groupBy(*by, "sent_id").agg(F.array_sort(F.collect_list(kept)).alias("w"))
+    return words.select(*by, "sent_id", F.array_join("w.surface", delimiter).alias("segmented"))
 
 
 def suppress_empty(tokens: DataFrame, by: list[str]) -> DataFrame:
@@ -141,16 +144,34 @@ def word_starts(positions: DataFrame, by: list[str]) -> DataFrame:
     return positions.withColumn("__before", before).withColumn("can_bow", F.col("__before").isNull() | ~spaced | (F.col("cats").bitwiseAND(F.col("__before")) == 0)).drop("__before")
 
 
-def prefix_matches(df: DataFrame, lexicon: DataFrame, text: str = "text", longest: int = 32) -> DataFrame:
-    """A row for each lexicon word that begins at each position of each text: a join on the headword's substring.
+def prefix_matches(df: DataFrame, lexicon: DataFrame, text: str = "text", chunk: int = 256) -> DataFrame:
+    """A row for each lexicon word that begins at each position of each text: df's other columns, the word's, begin and end.
 
-    longest bounds the headwords; lexicon is a dictionary's table and is broadcast.
+    A text is cut into chunks that overlap by the longest headword, so rows that are dealt out stay as short as
+    words. Only lengths that some headword with the same first character has are looked up. The lexicon's tables
+    are joined as Spark sees fit by their sizes.
     """
-    at = df.select("*", F.explode(F.sequence(F.lit(1), F.length(text))).alias("at")).where(F.length(text) > 0)
-    asked = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(text) - F.col("at") + 1))).alias("size"))
-    asked = asked.withColumn("headword", F.col(text).substr(F.col("at"), F.col("size")))
+    others = [F.col(f"`{c}`") for c in df.columns if c != text]
     words = lexicon.where("headword is not null and left_id >= 0")
-    return asked.join(F.broadcast(words), "headword").withColumn("begin", F.col("at") - 1).withColumn("end", F.col("at") - 1 + F.col("size")).drop("at", "size")
+    longest = words.agg(F.max(F.length("headword"))).first()[0] or 0
+    first = words.groupBy(F.substring("headword", 1, 1).alias("__first")).agg(F.collect_set(F.length("headword")).alias("__sizes"))
+    chars = df.select(*others, F.split(F.coalesce(F.col(text), F.lit("")), "").alias("__chars"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("__chars") - 1, F.lit(0)), F.lit(chunk))
+    cut = F.transform(starts, lambda k: F.struct(k.alias("at"), F.array_join(F.slice("__chars", k + 1, chunk + max(longest - 1, 0)), "").alias("part")))
+    parts = chars.select(*others, F.explode(cut).alias("__c"))
+    at = parts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(chunk), F.length("__c.part")))).alias("__k")).where(F.length("__c.part") > 0)
+    window = at.select(*others, (F.col("__c.at") + F.col("__k") - 1).alias("begin"), F.substring("__c.part", F.col("__k"), F.lit(longest)).alias("__w"))
+    asked = window.withColumn("__first", F.substring("__w", 1, 1)).join(first, "__first").select(*others, "begin", "__w", F.explode("__sizes").alias("__size")).where(F.col("__size") <= F.length("__w"))
+    asked = asked.select(*others, "begin", (F.col("begin") + F.col("__size")).alias("end"), F.substring("__w", F.lit(1), F.col("__size")).alias("headword"))
+    return asked.join(words, "headword")
+
+
+def dictionary_statistics(lexicon: DataFrame) -> DataFrame:
+    """A row for each dictionary: its words, those that can be found, different headwords, words with splits, and the largest homograph."""
+    found = F.col("headword").isNotNull() & (F.col("left_id") >= 0)
+    same = lexicon.where(found).groupBy("dict_id", "headword").agg(F.count("*").alias("n")).groupBy("dict_id").agg(F.count("*").alias("n_headwords"), F.max("n").alias("most_homographs"))
+    each = lexicon.groupBy("dict_id").agg(F.count("*").alias("n_words"), F.count(F.when(found, 1)).alias("n_indexed"), F.count(F.when((F.size("a_split") > 0) | (F.size("b_split") > 0), 1)).alias("n_split"))
+    return each.join(same, "dict_id", "left").select("dict_id", "n_words", "n_indexed", F.coalesce("n_headwords", F.lit(0)).alias("n_headwords"), "n_split", F.coalesce("most_homographs", F.lit(0)).alias("most_homographs"))
 
 
 def inhibit(connection: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:

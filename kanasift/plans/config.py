@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass, field
+from importlib import import_module
 from typing import Any
 
 from ..operators import oov, paths
@@ -16,28 +17,65 @@ from .dictionary import Dictionary, Lookup
 PLUGINS = ("editConnectionCostPlugin", "inputTextPlugin", "oovProviderPlugin", "pathRewritePlugin")
 
 
+def _remote(path: str) -> bool:
+    return "://" in path
+
+
+def _hadoop(path: str):
+    """(path, file system) of a URI, by the running session."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise ValueError(f"{path} is read by a Spark session, and none is running")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark
+
+
+def exists(path: str) -> bool:
+    """Whether a file or folder exists, on this machine or at a URI that Spark can reach."""
+    if not _remote(path):
+        return os.path.exists(path)
+    p, system, _ = _hadoop(path)
+    return system.exists(p)
+
+
+def read_bytes(path: str) -> bytes:
+    """A file's content, on this machine or at a URI that Spark can reach."""
+    if not _remote(path):
+        with open(path, "rb") as f:
+            return f.read()
+    return bytes(_hadoop(path)[2].read.format("binaryFile").load(path).select("content").first()[0])
+
+
+def is_file(path: str) -> bool:
+    if not _remote(path):
+        return os.path.isfile(path)
+    p, system, _ = _hadoop(path)
+    return system.exists(p) and system.getFileStatus(p).isFile()
+
+
 @dataclass
 class Anchor:
-    """Folders in which resources are looked up in turn; an absolute path stands for itself."""
+    """Folders in which resources are looked up in turn, here or at URIs; an absolute path or a URI stands for itself."""
 
     folders: list[str] = field(default_factory=list)
 
     def resolve(self, path: str) -> str:
         """The first folder's file that exists, else the path in the last folder."""
-        if os.path.isabs(path):
+        if os.path.isabs(path) or _remote(path):
             return path
         found = [os.path.join(f, path) for f in self.folders]
-        return next((f for f in found if os.path.exists(f)), found[-1] if found else path)
+        return next((f for f in found if exists(f)), found[-1] if found else path)
 
     def exists(self, path: str) -> bool:
-        return os.path.exists(self.resolve(path))
+        return exists(self.resolve(path))
 
     def then(self, other: Anchor) -> Anchor:
         return Anchor([*self.folders, *(f for f in other.folders if f not in self.folders)])
 
     def text(self, path: str) -> str:
-        with open(self.resolve(path), encoding="utf-8") as f:
-            return f.read()
+        return read_bytes(self.resolve(path)).decode("utf-8")
 
 
 class Settings:
@@ -61,8 +99,42 @@ class Settings:
 
     @classmethod
     def from_file(cls, path: str, anchor: Anchor | None = None) -> Settings:
-        with open(path, encoding="utf-8") as f:
-            return cls.parse(f.read(), Anchor([os.path.dirname(os.path.abspath(path))]).then(anchor or Anchor()))
+        folder = path.rsplit("/", 1)[0] if _remote(path) else os.path.dirname(os.path.abspath(path))
+        return cls.parse(read_bytes(path).decode("utf-8"), Anchor([folder]).then(anchor or Anchor()))
+
+    # Settings made in steps: each gives new settings and leaves these as they are.
+
+    def but(self, **values) -> Settings:
+        """These with other values; None takes one away."""
+        return Settings({k: v for k, v in {**self.values, **values}.items() if v is not None}, self.anchor)
+
+    def system_dictionary(self, path: str) -> Settings:
+        return self.but(systemDict=path)
+
+    def add_user_dictionary(self, path: str) -> Settings:
+        return self.but(userDict=[*self.strings("userDict"), path])
+
+    def clear_user_dictionaries(self) -> Settings:
+        return self.but(userDict=[])
+
+    def character_definition(self, path: str) -> Settings:
+        return self.but(characterDefinitionFile=path)
+
+    def allow_empty_morpheme(self, allow: bool = True) -> Settings:
+        return self.but(allowEmptyMorpheme=allow)
+
+    def add_plugin(self, kind: str, name: str, **values) -> Settings:
+        """These with a further plugin of a kind (one of PLUGINS), behind those that there are."""
+        if kind not in PLUGINS:
+            raise ValueError(f"no kind of plugins: {kind}")
+        return self.but(**{kind: [*(p.values for p in self.plugins(kind)), {"class": name, **values}]})
+
+    def clear_plugins(self, kind: str) -> Settings:
+        return self.but(**{kind: []})
+
+    def with_anchor(self, anchor: Anchor) -> Settings:
+        """These, looking for files along a path before their own."""
+        return Settings(self.values, anchor.then(self.anchor))
 
     def _get(self, name: str, kind: type | tuple, default):
         x = self.values.get(name)
@@ -189,10 +261,18 @@ def register(name: str, factory) -> None:
 
 
 def _make(s: Settings, lookup: Lookup):
-    name = _short(s.string("class"))
-    if name not in FACTORIES:
-        raise ValueError(f"no plugin {s.string('class')}")
-    return FACTORIES[name](s, lookup)
+    path = s.string("class")
+    if _short(path) in FACTORIES:
+        return FACTORIES[_short(path)](s, lookup)
+    # A class or function of one's own, module.name; executors must be able to import the module as well.
+    module, _, name = path.rpartition(".")
+    try:
+        factory = getattr(import_module(module), name) if module else None
+    except (ImportError, AttributeError) as e:
+        raise ValueError(f"no plugin {path}") from e
+    if factory is None:
+        raise ValueError(f"no plugin {path}")
+    return factory(s, lookup)
 
 
 def assemble(settings: Settings, system: Dictionary, users: list[Dictionary] = ()) -> Parts:
@@ -227,7 +307,4 @@ def dictionaries(spark, settings: Settings) -> tuple[Dictionary, list[Dictionary
 
 def load_dictionary(spark, path: str, system: Dictionary | None = None) -> Dictionary:
     """A dictionary from its folder of tables, or from a compiled binary file."""
-    if os.path.isfile(path):
-        with open(path, "rb") as f:
-            return binary.read(f.read(), system)
-    return lexicon.load(spark, path)
+    return binary.read(read_bytes(path), system) if is_file(path) else lexicon.load(spark, path)

@@ -33,11 +33,12 @@ def cut(parts, buffer: str, final: bool = False) -> tuple[list[tuple[str, list[s
     return out, buffer[taken:]
 
 
-def sentences(engine, pieces: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
+def sentences(engine, pieces: DataFrame, timeout_ms: int = 60_000, forget_ms: int = 86_400_000) -> DataFrame:
     """Sentences of streams of text: pieces (stream, at, text) in order of `at` within a batch of a stream.
 
-    The rest of a stream is given as its last sentence when nothing came for timeout_ms. The state of a stream
-    is its unfinished text, of LIMIT characters at most, and a count.
+    The rest of a stream is given as its last sentence when nothing came for timeout_ms; if more comes within
+    forget_ms after that, its sentences are numbered on. The state of a stream is its unfinished text, of LIMIT
+    characters at most, and a count.
     """
     sent = engine.broadcast()
 
@@ -48,11 +49,11 @@ def sentences(engine, pieces: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
             rows = pd.concat(list(batches))
             text += "".join(rows.sort_values("at")["text"].fillna(""))
         out, rest = cut(sent.value, text, final)
-        if final:
+        if final and not text:
             state.remove()
         else:
             state.update((rest, seq + len(out)))
-            state.setTimeoutDuration(timeout_ms)
+            state.setTimeoutDuration(timeout_ms if rest else forget_ms)
         if out:
             yield pd.DataFrame({"stream": key[0], "seq": range(seq, seq + len(out)), "sentence": [s for s, _ in out], "tokens": [t for _, t in out]})
 
