@@ -1,7 +1,8 @@
 """The queries over the driver's tables, one or more an operator, and their SQL.
 
-Japanese texts are derived from the keys of orders, the same way in Spark and in SQL; Latin texts are the
-documents. The SQL finds cheapest paths in another way: it enumerates all segmentations and takes the least.
+Japanese texts are derived from the keys of orders, each with the key in it so that no two are alike, the same way in
+Spark and in SQL; Latin texts are the documents. The SQL finds results in another way: cheapest paths by
+enumerating all segmentations, and normalized forms, offsets and sentences from how the texts are made.
 """
 
 from __future__ import annotations
@@ -17,16 +18,12 @@ from .engine import Engine
 from .plans.config import Parts
 from .sources import definitions
 
-#: Texts all of whose reachable places begin a word of the sample dictionary.
+#: What derived texts begin with; the order's key and one of the ends follow.
 TEXTS = ["東京都に行った", "京都に行った", "東に行く", "東京に行く", "都に行った", "東京都", "京都に東京都に行く", "アイアイウに行く", "いくに行った", "六三四に行く", "二三に東京都", "東京に京都に都に行った"]
-#: Those in which each place that any word reaches begins a word.
-COVERED_TEXTS = [t for t in TEXTS if "アイ" not in t and "東京に" not in t]
+ENDS = ["に行く", "東京都", "都に行った", "京都", "東に"]
 USER_TEXTS = ["東京府に行った", "ぴらるに行く", "すだちに行く", "東京府", "府に東京都", "すだちに東京府に行った"]
-EMPTY_TEXTS = ["…", "京都…", "…東京都…", "東京都に行った"]
-LONG_TEXTS = ["京都。東京都。東に行く", "東京都に行った。京都（東。東京）に行く。都", "京都に行った。", "東京。。都に行く", "な。なに。東京"]
-KATAKANA_TEXTS = {"カキクアイウに行く": "カキクアイウ", "アイカキに行く": "アイカキ", "カに行く": "カ", "京都カキ": "カキ"}
-SYMBOLS = {"エー〜ビ〜〰ーシ〰ー〰〜": "エービーシー", "ゴーール": "ゴール", "スーパー": "スーパー", "ー〜": "ー"}
-READINGS = {"徳島（とくしま）に行（い）く": "徳島に行く", "徳島に（よく）行く": "徳島に（よく）行く", "京都(キョウト)": "京都", "明日（いっしょに）行く": "明日（いっしょに）行く"}
+#: Texts of which no path is without a connection that the edited costs forbid only there.
+FREE_TEXTS = [t for t in TEXTS if "都に" not in t or "京都" in t]
 
 _NOUN = ["名詞", "普通名詞", "一般", "*", "*", "*"]
 _PLAIN = {"pathRewritePlugin": []}
@@ -90,16 +87,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
 
+def _made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """doc_id and text of each order: an expression of its key, that Spark and DuckDB understand alike."""
+    return _table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{sql} as text")
+
+
+def _pick(texts, n: str) -> str:
+    """The text of number n modulo how many there are, as SQL."""
+    return f"case {n} % {len(texts)} " + " ".join(f"when {k} then '{t}'" for k, t in enumerate(texts)) + " end"
+
+
+def _text_of(texts, ends=ENDS) -> str:
+    return f"concat({_pick(texts, 'o_orderkey')}, cast(o_orderkey as varchar(20)), {_pick(ends, 'o_custkey')})"
+
+
 def _derived(spark: SparkSession, sf_dir: str, texts) -> DataFrame:
-    """doc_id and text of each order: a text by the order's key."""
-    texts = list(texts)
-    pick = F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % len(texts) + 1).cast("int"))
-    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), pick.alias("text"))
+    """doc_id and text of each order: a beginning by its key, the key, an end by its customer."""
+    return _made(spark, sf_dir, _text_of(texts))
 
 
 def _sql_texts(texts) -> str:
-    values = ", ".join(f"({k}, '{t}')" for k, t in enumerate(texts))
-    return f"texts(k, t) as (values {values}), jp as (select o_orderkey as doc_id, k, t from orders join texts on k = o_orderkey % {len(list(texts))})"
+    return f"texts(k, t) as (select o_orderkey, {_text_of(texts)} from orders), jp as (select k as doc_id, k, t from texts)"
 
 
 def _sql_lexicon(kind: str) -> str:
@@ -112,17 +120,31 @@ def _sql_lexicon(kind: str) -> str:
     return f"lex(id, head, l, r, c, pos, norm, form, reading, a, b, syn, surf) as (values {rows}), conn(l, r, c) as (values {costs})"
 
 
+def _sql_raw() -> str:
+    """The rows of the sample's CSV as they stand there, dictionary and number first."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [(d, n, *line.split(",")) for d, lines in enumerate((sample.WORDS, sample.USER_WORDS)) for n, line in enumerate(lines.strip().split("\n"))]
+    values = ", ".join(f"({d}, {n}, {text(r[0])}, {r[3]}, {text(r[4])}, {text(r[13])}, {text(r[15])}, {text(r[16])})" for d, n, *r in rows)
+    return f"raw(dict_id, word_no, headword, cost, surface, form, a, b) as (values {values})"
+
+
 def _sql_best(texts, kind: str = "plain") -> str:
-    """The cheapest segmentation of each text among all, and of each order its tokens in order."""
+    """The cheapest segmentation of each text among all, and of each order its tokens in order.
+
+    Where no word begins, a character is an unknown word; none of these texts has one on its cheapest path.
+    """
     return f"""with recursive {_sql_texts(texts)}, {_sql_lexicon(kind)},
-paths(k, at_, rid, cost, ids) as (
-  select k, 0, 0, 0, []::int[] from texts
+places as (select k, t, unnest(range(length(t))) as at_ from texts),
+hits as (select p.k, p.at_, x.id, length(x.head) as n, x.l, x.r, x.c from places p join lex x on substr(p.t, cast(p.at_ + 1 as integer), length(x.head)) = x.head),
+cand as (select * from hits union all select k, at_, -1, 1, 8, 8, 6000 from places p where not exists (select 1 from hits h where h.k = p.k and h.at_ = p.at_)),
+paths(k, at_, rid, cost, ids, left_) as (
+  select k, 0::bigint, 0, 0, []::int[], length(t) from texts
   union all
-  select p.k, p.at_ + length(x.head), x.r, p.cost + c.c + x.c, list_append(p.ids, x.id)
-  from paths p join texts t on t.k = p.k join lex x on substr(t.t, p.at_ + 1, length(x.head)) = x.head
-  join conn c on c.l = p.rid and c.r = x.l and c.c <> 32767 where p.at_ < length(t.t)
+  select p.k, p.at_ + x.n, x.r, p.cost + c.c + x.c, list_append(p.ids, x.id), p.left_ - x.n
+  from paths p join cand x on x.k = p.k and x.at_ = p.at_
+  join conn c on c.l = p.rid and c.r = x.l and c.c <> 32767 where p.left_ > 0
 ),
-ends as (select p.k, p.cost + c.c as cost, p.ids from paths p join texts t on t.k = p.k and p.at_ = length(t.t) join conn c on c.l = p.rid and c.r = 0 and c.c <> 32767),
+ends as (select p.k, p.cost + c.c as cost, p.ids from paths p join conn c on c.l = p.rid and c.r = 0 and c.c <> 32767 where p.left_ = 0),
 best as (select k, min(cost) as cost, arg_min(ids, cost) as ids from ends group by k),
 tok as (select k, unnest(range(len(ids))) as i, unnest(ids) as id from best),
 toks as (select jp.doc_id, tok.k, cast(tok.i as integer) as tok_id, lex.* from jp join tok using (k) join lex using (id))
@@ -156,27 +178,51 @@ def bow_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, "lower").normalize(_documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "modified")
+    return engine(spark, "lower").normalize(_documents(spark, sf_dir), keep=["doc_id"], columns=["modified"])
+
+
+#: The key in full-width digits, full-width letters, half-width kana with its mark, and a sign that becomes three characters.
+WIDE = "concat(translate(cast(o_orderkey as varchar(20)), '0123456789', '０１２３４５６７８９'), 'ＡＢｃÉ', 'ｶﾞ', '㈱', cast(o_custkey as varchar(20)))"
+
+
+def _offsets() -> F.Column:
+    return F.concat_ws(",", F.transform("mod2orig", lambda x: x.cast("string"))).alias("offsets")
+
+
+def normalize_japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, "lower").normalize(_made(spark, sf_dir, WIDE), columns=["modified", "mod2orig"]).select("doc_id", "modified", _offsets())
+
+
+#: Runs of marks, as long as the key says, between letters.
+MARKS = "concat('エ', repeat('ー', cast(o_orderkey % 4 as int)), 'ビ', repeat('〜〰', cast(o_custkey % 3 as int)), 'シ', cast(o_orderkey as varchar(20)), repeat('-', cast(o_orderkey % 3 as int)))"
 
 
 def collapse_prolonged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = engine(spark, "prolonged").normalize(_derived(spark, sf_dir, SYMBOLS))
-    return out.select("doc_id", "modified", F.concat_ws(",", F.transform("mod2orig", lambda x: x.cast("string"))).alias("offsets"))
+    return engine(spark, "prolonged").normalize(_made(spark, sf_dir, MARKS), columns=["modified", "mod2orig"]).select("doc_id", "modified", _offsets())
+
+
+#: A reading in brackets of one to six kana, of which the longer ones are none, behind a kanji and behind the key.
+BRACKETS = "concat('徳島（', substring('とくしまけん', 1, cast(o_orderkey % 6 + 1 as int)), '）に', cast(o_orderkey as varchar(20)), '(ここ)行(', substring('イッテ', 1, cast(o_custkey % 4 as int)), ')く')"
 
 
 def strip_yomigana(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, "yomigana").normalize(_derived(spark, sf_dir, READINGS)).select("doc_id", "modified")
+    return engine(spark, "yomigana").normalize(_made(spark, sf_dir, BRACKETS), columns=["modified"])
 
 
 # Sentences
 
 
+#: Sentences of which a text is made: with brackets, with several stops, with a word across a stop, with and without an end.
+SENTENCES = [f"concat({_pick(TEXTS, 'o_orderkey')}, '。')", "concat('京都（東。', cast(o_orderkey as varchar(20)), '）に行く。')", "concat(cast(o_orderkey as varchar(20)), '都！？')", "'な。なに。'", f"concat({_pick(TEXTS, 'o_custkey')}, cast(o_orderkey as varchar(20)))"]
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, "plain").sentences(_derived(spark, sf_dir, LONG_TEXTS)).select("doc_id", "sent_id", "sent_begin", F.col("original").alias("sentence"))
+    texts = _made(spark, sf_dir, f"concat({', '.join(SENTENCES)})")
+    return engine(spark, "plain").sentences(texts, columns=["sent_id", "sent_begin", "original"]).select("doc_id", "sent_id", "sent_begin", F.col("original").alias("sentence"))
 
 
 def sentence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = engine(spark, "plain").sentences(_documents(spark, sf_dir), keep=["doc_id"])
+    out = engine(spark, "plain").sentences(_documents(spark, sf_dir), keep=["doc_id"], columns=["original"])
     return out.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("original")).alias("n_chars"))
 
 
@@ -193,7 +239,7 @@ def best_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inhibited_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, "inhibited").sentences(_derived(spark, sf_dir, [t for t in TEXTS if "都に" not in t or "京都" in t]), cost=True).select("doc_id", "path_cost")
+    return engine(spark, "inhibited").sentences(_derived(spark, sf_dir, FREE_TEXTS), cost=True).select("doc_id", "path_cost")
 
 
 def connection_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +289,7 @@ def estimated_user_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lattice_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = engine(spark, "plain").lattice(_derived(spark, sf_dir, COVERED_TEXTS))
+    out = engine(spark, "plain").lattice(_derived(spark, sf_dir, TEXTS))
     nodes = F.from_json("lattice", "lattice array<struct<wordId:int>>, bestPath array<struct<wordId:int>>")
     return out.select("doc_id", nodes.alias("x")).select("doc_id", F.size("x.lattice").cast("long").alias("n_nodes"), F.size("x.bestPath").cast("long").alias("n_best"))
 
@@ -314,8 +360,12 @@ def join_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, "numbers").analyze(rows, columns=["tok_id", "normalized_form", "is_oov", "dict_id"])
 
 
+#: Katakana of which no dictionary has the whole, between other words.
+KATAKANA = f"concat({_pick(['東に', '', '京都'], 'o_custkey')}, repeat('カ', cast(o_orderkey % 4 + 1 as int)), {_pick(['', 'アイ', 'アイウ', 'キ'], 'o_custkey')}, cast(o_orderkey as varchar(20)))"
+
+
 def join_katakana(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens(spark, sf_dir, KATAKANA_TEXTS, "katakana", columns=["surface", "is_oov"])
+    tokens = engine(spark, "katakana").analyze(_made(spark, sf_dir, KATAKANA), columns=["surface", "is_oov"])
     return tokens.where(F.col("surface").rlike("^[ァ-ヺ]+$")).select("doc_id", "surface", "is_oov")
 
 
@@ -353,12 +403,25 @@ def wakati(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.wakati(_tokens(spark, sf_dir, TEXTS, columns=["sent_id", "tok_id", "surface"]), ["doc_id"]).select("doc_id", "segmented")
 
 
+def wakati_in_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, "plain").format(_derived(spark, sf_dir, TEXTS), style="wakati").select("doc_id", F.col("formatted").alias("segmented"))
+
+
+def dictionary_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.dictionary_statistics(engine(spark, "user").lexicon_table())
+
+
 def format_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.format_tokens(_tokens(spark, sf_dir, TEXTS), ["doc_id"], details=True).select("doc_id", "formatted")
 
 
+#: Signs that become three characters each, two of them without width.
+DOTTED = "concat(repeat('…', cast(o_orderkey % 3 as int)), '京都', repeat('…', cast(o_custkey % 4 as int)), cast(o_orderkey as varchar(20)))"
+
+
 def empty_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = K.suppress_empty(_tokens(spark, sf_dir, EMPTY_TEXTS), ["doc_id"])
+    columns = ["sent_id", "tok_id", "begin", "end", "begin_cp", "end_cp"]
+    tokens = K.suppress_empty(engine(spark, "plain").analyze(_made(spark, sf_dir, DOTTED), columns=columns), ["doc_id"])
     return tokens.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("begin")).alias("width"))
 
 
@@ -409,7 +472,7 @@ def oracle_sql() -> dict[str, str]:
     seq as (select doc_id, i, ch.x, c, lag(c) over (partition by doc_id order by i) as p from ch join cats on cats.x = ch.x)
     """
     best, user = _sql_best(TEXTS), _sql_best(USER_TEXTS, "user")
-    inhibited = _sql_best([t for t in TEXTS if "都に" not in t or "京都" in t], "inhibited")
+    inhibited = _sql_best(FREE_TEXTS, "inhibited")
     lex = _sql_lexicon("plain")
     shown = "doc_id, tok_id, head as surface, norm as normalized_form, form as dictionary_form, reading as reading_form, pos, cast(b_ as integer) as begin, cast(e_ as integer) as \"end\""
 
@@ -420,33 +483,39 @@ def oracle_sql() -> dict[str, str]:
         off as (select *, cast(row_number() over w - 1 as integer) as tok_id, sum(length(head)) over w as e_ from rows_ window w as (partition by doc_id order by t, n))
         select {shown.replace('cast(b_', 'cast(e_ - length(head)')} from off"""
 
-    def values(mapping: dict, column: str) -> str:
-        rows = ", ".join(f"({k}, '{v}')" for k, v in enumerate(mapping.values()))
-        return f"select o_orderkey as doc_id, v as {column} from orders join (values {rows}) x(k, v) on k = o_orderkey % {len(mapping)}"
-
     def pos_count(where: str) -> str:
         return best + f"select pos, count(*) as n from toks where {where} group by pos"
 
-    offsets = {}
-    for text in SYMBOLS:
-        from .operators.text import CharTable, Draft, Prolonged
-
-        d = Draft.of(text)
-        d.apply(Prolonged(["ー", "-", "⁓", "〜", "〰"], "ー").edits(text, CharTable([])))
-        offsets[text] = ",".join(map(str, d.source))
-    both = ", ".join(f"({k}, '{v}', '{offsets[t]}')" for k, (t, v) in enumerate(SYMBOLS.items()))
-    long_rows = ", ".join(f"({k}, {i}, {b}, '{s}')" for k, x in enumerate(_LONG_SENTENCES) for i, (b, s) in enumerate(x))
-    katakana = ", ".join(f"({k}, '{v}')" for k, v in enumerate(KATAKANA_TEXTS.values()))
-    empty = ", ".join(f"({k}, {n}, {w})" for k, (n, w) in enumerate([(3, 3), (4, 5), (7, 9), (4, 7)]))
+    raw = f"with {_sql_raw()} "
+    pieces = ", ".join(f"({k}, {x})" for k, x in enumerate(SENTENCES))
     return {
         "char_category_histogram": chars + "select c as cats, count(*) as n_chars, count(distinct x) as n_code_points from seq group by c",
         "category_runs": chars + "select d.doc_id, count(s.doc_id) filter (s.p is null or s.c & s.p = 0) as n_runs from documents d left join seq s using (doc_id) group by d.doc_id",
         "bow_positions": chars + "select d.doc_id, count(s.doc_id) filter (s.p is null or s.c & 1568 = 0 or s.c & s.p = 0) as n_bow from documents d left join seq s using (doc_id) group by d.doc_id",
         "normalize_text": "select doc_id, lower(text) as modified from documents",
-        "collapse_prolonged": f"select o_orderkey as doc_id, v as modified, o as offsets from orders join (values {both}) x(k, v, o) on k = o_orderkey % {len(SYMBOLS)}",
-        "strip_yomigana": values(READINGS, "modified"),
-        "sentences": f"select o_orderkey as doc_id, cast(i as integer) as sent_id, cast(b as integer) as sent_begin, s as sentence from orders join (values {long_rows}) x(k, i, b, s) on k = o_orderkey % {len(LONG_TEXTS)}",
-        "lexicon_prefix_matches": f"with {_sql_texts(TEXTS)}, {lex} select doc_id, cast(p as integer) as begin, cast(p + length(head) as integer) as \"end\", cast(id as integer) as word_no from jp, range(0, 32) r(p) join lex on substr(t, cast(p + 1 as integer), length(head)) = head where p < length(t)",
+        "normalize_japanese": """with k as (select o_orderkey as doc_id, cast(o_orderkey as varchar) as a, cast(o_custkey as varchar) as b from orders)
+            select doc_id, a || 'abcéガ(株)' || b as modified,
+                array_to_string(list_concat(range(length(a) + 5), [length(a) + 6, length(a) + 7, length(a) + 7], range(length(a) + 7, length(a) + 8 + length(b))), ',') as offsets from k""",
+        "collapse_prolonged": f"""with t as (select o_orderkey as doc_id, {MARKS} as t from orders),
+            ch as (select doc_id, length(t) as n, unnest(range(length(t))) as i, unnest(string_split(t, '')) as x from t),
+            marked as (select *, x in ('ー', '-', '⁓', '〜', '〰') as m from ch),
+            runs as (select *, sum(case when m and before then 0 else 1 end) over (partition by doc_id order by i) as g from (select *, coalesce(lag(m) over (partition by doc_id order by i), false) as before from marked)),
+            parts as (select doc_id, n, g, min(i) as i, case when any_value(m) and count(*) > 1 then 'ー' else min(x) end as x from runs group by all)
+            select doc_id, string_agg(x, '' order by i) as modified, string_agg(cast(i as varchar), ',' order by i) || ',' || any_value(n) as offsets from parts group by doc_id""",
+        "strip_yomigana": f"select o_orderkey as doc_id, regexp_replace({BRACKETS}, '([一-龥])[（(][ぁ-んァ-ヶ]{{1,4}}[）)]', '\\1', 'g') as modified from orders",
+        "sentences": f"""with p as (select o_orderkey as doc_id, i, s from orders, lateral (values {pieces}) x(i, s))
+            select doc_id, cast(i as integer) as sent_id, cast(sum(length(s)) over (partition by doc_id order by i) - length(s) as integer) as sent_begin, s as sentence from p""",
+        "sentence_count": f"""with ch as (select doc_id, length(text) as n, unnest(range(length(text))) as i, unnest(string_split(text, '')) as x from documents where length(text) > 0),
+            near as (select *, coalesce(lag(x) over w, '') as p, coalesce(lead(x) over w, '') as f from ch window w as (partition by doc_id order by i)),
+            marks as (select *, x in ('!', '?', '。', '！', '？', '♪', '…') or x = '.' and not regexp_matches(p, '^[a-zA-Z0-9]$') and not regexp_matches(f, '^[a-zA-Z0-9,]$') as ends, x in ('!', '?', '.', ',', ')', ']', '}}', '。', '！', '？', '♪', '…') as tail from near),
+            stops as (select doc_id, n, i, min(case when not tail then i end) over (partition by doc_id order by i rows between 1 following and unbounded following) as e from marks qualify ends),
+            firsts as (select doc_id, n, e, min(i) as i from (select doc_id, n, i, coalesce(e, n) as e from stops) group by all),
+            chain as (select *, i - coalesce(lag(e) over (partition by doc_id order by i), 0) >= 4096 as far from firsts),
+            seen as (select * from chain qualify not bool_or(far) over (partition by doc_id order by i)),
+            ends as (select doc_id, count(*) as k, max(e) as e from seen group by doc_id)
+            select d.doc_id, cast(coalesce(k, 0) + case when coalesce(e, 0) < length(d.text) then 1 else 0 end as bigint) as n_sentences, cast(length(d.text) as bigint) as n_chars
+            from documents d left join ends using (doc_id) where length(d.text) > 0""",
+        "lexicon_prefix_matches": f"with {_sql_texts(TEXTS)}, {lex} select doc_id, cast(p as integer) as begin, cast(p + length(head) as integer) as \"end\", cast(id as integer) as word_no from jp, range(0, 64) r(p) join lex on substr(t, cast(p + 1 as integer), length(head)) = head where p < length(t)",
         "best_path_cost": best + "select doc_id, cast(cost as integer) as path_cost from jp join best using (k)",
         "inhibited_pairs": inhibited + "select doc_id, cast(cost as integer) as path_cost from jp join best using (k)",
         "connection_edits": f"with {lex} select cast(l as smallint) as \"left\", cast(sum(case when (l, r) in ((8, 3), (0, 7)) then 32767 else c end) as bigint) as total, count(*) filter ((l, r) in ((8, 3), (0, 7))) as inhibited from conn group by l",
@@ -456,8 +525,8 @@ def oracle_sql() -> dict[str, str]:
         "resplit_stored_tokens": units(best, "a"),
         "user_dictionary_tokens": user + f"select doc_id, tok_id, head as surface, pos, cast(id >= {len(sample.system().words)} as integer) as dict_id from toks",
         "user_dictionary_split": units(user, "a"),
-        "estimated_user_costs": "select * from (values ('ぴらる', -60), ('府', 2914), ('東京府', 2816), ('すだち', 2816)) x(headword, cost)",
-        "lattice_nodes": _sql_best(COVERED_TEXTS) + "select doc_id, n_nodes, cast(len(ids) as bigint) as n_best from jp join best using (k) join (select k, count(distinct (at_, xid)) + 2 as n_nodes from (select p.k, p.at_, x.id as xid from paths p join texts t on t.k = p.k join lex x on substr(t.t, p.at_ + 1, length(x.head)) = x.head) group by k) n using (k)",
+        "estimated_user_costs": raw + "select headword, cast(case cost when -32768 then -20 * length(headword) else cost end as integer) as cost from raw where dict_id = 1",
+        "lattice_nodes": best + ", reached as (select distinct p.k, p.at_, x.id from paths p join cand x on x.k = p.k and x.at_ = p.at_) select doc_id, n_nodes, cast(len(ids) as bigint) as n_best from jp join best using (k) join (select k, count(*) + 2 as n_nodes from reached group by k) n using (k)",
         "analyze_in_sql": best + "select doc_id, tok_id, head as surface, norm as normalized_form from toks",
         "oov_simple": chars + "select doc_id, count(*) filter (p is null or c & 1568 = 0 or c & p = 0) as n_tokens, count(*) filter ((p is null or c & 1568 = 0 or c & p = 0) and not (unicode(x) between 48 and 57)) as n_oov from seq group by doc_id",
         "oov_templates": chars + "select doc_id, count(*) filter (p is null or c & p = 0) as n_tokens, count(*) as n_chars from seq group by doc_id",
@@ -466,29 +535,21 @@ def oracle_sql() -> dict[str, str]:
         "numeral_comma": "select o_orderkey, cast(o_orderkey * 997 + 1000 as varchar) as value from orders",
         "numeral_decimal": "select o_orderkey, cast(o_orderkey * 1000 + (o_orderkey % 100) * 10 as varchar) || case when o_orderkey = 0 then '000' else '' end as value from orders",
         "join_numbers": "select o_orderkey as doc_id, cast(i as integer) as tok_id, case i when 0 then cast(o_orderkey as varchar) else '円' end as normalized_form, i = 1 as is_oov, cast(-1 as integer) as dict_id from orders, range(0, 2) r(i)",
-        "join_katakana": f"select o_orderkey as doc_id, v as surface, true as is_oov from orders join (values {katakana}) x(k, v) on k = o_orderkey % {len(KATAKANA_TEXTS)}",
+        "join_katakana": f"select o_orderkey as doc_id, regexp_extract({KATAKANA}, '[ァ-ヺ]+') as surface, true as is_oov from orders",
         "pos_filter": pos_count("pos like '名詞,%' or pos like '%,格助詞,%'"),
         "pos_union": pos_count("pos like '動詞,%' or pos like '助動詞,%'"),
         "pos_intersection": pos_count("pos like '名詞,%,地名,%'"),
         "pos_invert": pos_count("pos not like '名詞,%'"),
         "synonym_groups": best + "select cast(g as integer) as group_id, count(*) as n from (select unnest(syn) as g from toks) group by g",
         "wakati": best + "select doc_id, string_agg(head, ' ' order by tok_id) as segmented from toks group by doc_id",
+        "wakati_in_one_pass": best + "select doc_id, string_agg(head, ' ' order by tok_id) as segmented from toks group by doc_id",
         "format_tokens": best + "select doc_id, string_agg(concat_ws(chr(9), head, pos, norm, form, reading, '0', '[' || array_to_string(syn, ', ') || ']'), chr(10) order by tok_id) || chr(10) || 'EOS' || chr(10) as formatted from toks group by doc_id",
-        "empty_tokens": f"select o_orderkey as doc_id, cast(n as bigint) as n, cast(w as bigint) as width from orders join (values {empty}) x(k, n, w) on k = o_orderkey % {len(EMPTY_TEXTS)}",
+        "empty_tokens": "select o_orderkey as doc_id, cast(3 * (o_orderkey % 3 + o_custkey % 4) + 1 + length(cast(o_orderkey as varchar)) as bigint) as n, cast(3 * (o_orderkey % 3 + o_custkey % 4) + 2 + length(cast(o_orderkey as varchar)) as bigint) as width from orders",
         "pos_frequency": best + "select split_part(pos, ',', 1) as pos, count(*) as n from toks group by 1",
         "oov_rate_by_lang": chars + "select lang, count(*) filter (p is null or c & 1568 = 0 or c & p = 0) as n, count(*) filter ((p is null or c & 1568 = 0 or c & p = 0) and not (unicode(x) between 48 and 57)) as n_oov from seq join documents using (doc_id) group by lang",
         "top_terms_by_source": chars + ", marked as (select doc_id, i, x, sum(case when p is null or c & p = 0 then 1 else 0 end) over (partition by doc_id order by i) as g from seq), words as (select doc_id, g, string_agg(x, '' order by i) as w from marked group by doc_id, g), n as (select source, w as normalized_form, count(*) as n from words join documents using (doc_id) where length(w) >= 4 group by all) select source, normalized_form, n, cast(rank as integer) as rank from (select *, row_number() over (partition by source order by n desc, normalized_form) as rank from n) where rank <= 5",
-        "dictionary_forms": f"with {_sql_lexicon('user')} select cast(id >= {len(sample.system().words)} as integer) as dict_id, cast(case when id >= {len(sample.system().words)} then id - {len(sample.system().words)} else id end as integer) as word_no, surf as surface, case surf when '行っ' then '行く' when 'いっ' then 'いく' else surf end as dictionary_form from lex",
-        "split_references": "select * from (values (6, 0, '東京'), (6, 1, '都'), (37, 0, 'アイウ')) x(word_no, \"at\", unit_surface)",
+        "dictionary_forms": raw + "select w.dict_id, w.word_no, w.surface, coalesce(f.surface, w.surface) as dictionary_form from raw w left join raw f on f.dict_id = w.dict_id and cast(f.word_no as varchar) = w.form",
+        "dictionary_statistics": raw + "select dict_id, count(*) as n_words, count(*) as n_indexed, count(distinct headword) as n_headwords, count(*) filter (a <> '*' or b <> '*') as n_split, max(n) as most_homographs from (select *, count(*) over (partition by dict_id, headword) as n from raw) group by dict_id",
+        "split_references": raw + "select w.word_no, cast(i as integer) as at, u.surface as unit_surface from (select word_no, unnest(string_split(a, '/')) as unit, unnest(range(len(string_split(a, '/')))) as i from raw where dict_id = 0 and a <> '*') w join raw u on u.dict_id = 0 and cast(u.word_no as varchar) = w.unit",
         "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n from events group by all",
     }
-
-
-#: (begin, sentence) of each of LONG_TEXTS, cut by hand.
-_LONG_SENTENCES = [
-    [(0, "京都。"), (3, "東京都。"), (7, "東に行く")],
-    [(0, "東京都に行った。"), (8, "京都（東。東京）に行く。"), (20, "都")],
-    [(0, "京都に行った。")],
-    [(0, "東京。。"), (4, "都に行く")],
-    [(0, "な。なに。"), (5, "東京")],
-]
