@@ -138,12 +138,14 @@ class Engine:
         def run(batches):
             parts, known = sent.value, {}
             for b in batches:
-                # Columns that go along are taken by row number, so their values are never copied through Python.
+                # Columns that go along are taken by row number, so their values are never copied through Python; the
+                # text is not among them.
+                along = [b.column(k) for k in range(b.num_columns - 1)]
                 at, columns, errors = [], [[] for _ in range(width)], []
 
                 def flush():
-                    took = b.take(pa.array(at, pa.int64()))
-                    made = [took.column(k) for k in range(b.num_columns - 1)] + [pa.array(c, f.type) for c, f in zip(columns, list(target)[len(keep) :], strict=False)]
+                    places = pa.array(at, pa.int64())
+                    made = [c.take(places) for c in along] + [pa.array(c, f.type) for c, f in zip(columns, list(target)[len(keep) :], strict=False)]
                     if on_error == "column":
                         made.append(pa.array(errors, pa.string()))
                     for c in (at, errors, *columns):
