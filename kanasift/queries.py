@@ -78,9 +78,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files are fewer: analysis costs far more than moving a small table's texts."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """df over all cores if it has less than a split for each of them: one row group is one task's, however many splits
+    its file has, and analysis costs far more than moving so few texts. A larger df is left as it is read."""
+    spark = df.sparkSession
+    n = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size < n * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +92,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """doc_id and text of each order: an expression of its key, that Spark and DuckDB understand alike."""
-    return _table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{sql} as text")
+    return _spread(_table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{sql} as text"))
 
 
 def _pick(texts, n: str) -> str:
@@ -315,7 +318,7 @@ def oov_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit("京都xag-"), F.col("o_orderkey").cast("string"), F.lit("東京"))
-    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), code.alias("text"))
+    return _spread(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), code.alias("text")))
 
 
 def oov_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,7 +342,7 @@ def _kanji(n: F.Column) -> F.Column:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").select("o_orderkey")
+    return _spread(_table(spark, sf_dir, "orders").select("o_orderkey"))
 
 
 def numeral_kanji(spark: SparkSession, sf_dir: str) -> DataFrame:
