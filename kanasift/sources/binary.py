@@ -65,63 +65,102 @@ def header(data: bytes) -> dict:
     return {"is_user": VERSIONS[version][0], "version": version, "created": created, "description": data[16 : 16 + _DESCRIPTION].split(b"\0")[0].decode()}
 
 
-def _offset(unit: int) -> int:
-    return unit >> 10 << ((unit & 1 << 9) >> 6)
+#: Units of a double array that share all but the last 8 bits of their place; a node's letters are in one block.
+_BLOCK = 256
+#: Blocks in which new nodes may still be placed.
+_OPEN = 4
+#: Distances from a node to its letters that are written as they are; greater ones without their last 8 bits.
+_NEAR = 1 << 21
+
+
+def _offsets(units: np.ndarray) -> np.ndarray:
+    return ((units >> 10) << ((units & 1 << 9) >> 6)).astype(np.int64)
 
 
 def trie_keys(units: np.ndarray) -> list[tuple[bytes, int]]:
-    """(key, value) of all keys of a double array, by going down from its root."""
+    """(key, value) of all keys of a double array, from its root down, all nodes of one depth at a time."""
     if not len(units):
         return []
-    letters, out = np.arange(1, 256), []
-    marks = units & np.uint32(0x800000FF)
-    todo = [(b"", _offset(int(units[0])))]
-    while todo:
-        key, base = todo.pop()
-        slots = letters ^ base
-        inside = slots < len(units)
-        for c in letters[inside][marks[slots[inside]] == letters[inside]].tolist():
-            unit = int(units[base ^ c])
-            below = (base ^ c) ^ _offset(unit)
-            if unit >> 8 & 1:
-                out.append((key + bytes([c]), int(units[below]) & 0x7FFFFFFF))
-            todo.append((key + bytes([c]), below))
+    units = np.asarray(units, np.uint32)
+    letters, names = np.arange(1, 256), [bytes([c]) for c in range(256)]
+    marks = (units & np.uint32(0x800000FF)).astype(np.int64)
+    keys, bases, out = [b""], _offsets(units[:1]), []
+    while keys:
+        longer, below = [], []
+        for k in range(0, len(keys), 4096):
+            slots = bases[k : k + 4096, None] ^ letters
+            found = (slots < len(units)) & (marks[np.minimum(slots, len(units) - 1)] == letters)
+            node, letter = np.nonzero(found)
+            at = slots[node, letter]
+            some = [keys[k + i] + names[c] for i, c in zip(node.tolist(), letters[letter].tolist(), strict=True)]
+            base = at ^ _offsets(units[at])
+            ends = np.flatnonzero(units[at] >> 8 & 1)
+            out += zip(map(some.__getitem__, ends.tolist()), (units[base[ends]] & np.uint32(0x7FFFFFFF)).tolist(), strict=True)
+            longer += some
+            below.append(base)
+        keys, bases = longer, np.concatenate(below)
     return sorted(out)
 
 
-def trie_units(values: dict[bytes, int]) -> np.ndarray:
-    """A double array of keys and values. Each node takes the first place where its letters fit."""
-    children: dict[bytes, set[int]] = defaultdict(set)
-    for k in values:
-        for n in range(len(k)):
-            children[k[:n]].add(k[n])
-    units, used, bases, free = [0] * 512, {0}, set(), 1
-    todo = [(b"", 0)]
+class _Block:
+    """Free units of a block, and which bases its nodes have."""
+
+    def __init__(self, start: int):
+        self.start, self.taken, self.bases = start, bytearray(_BLOCK), bytearray(_BLOCK)
+        self.free = list(range(_BLOCK))
+        if not start:
+            # The root's own unit, and the base that would say that there is none.
+            self.taken[0] = self.bases[0] = 1
+            self.free.remove(0)
+
+    def place(self, letters: list[int], at: int, near: int) -> int | None:
+        """A base for the letters of the node at a place, now taken; None if they do not fit."""
+        far = self.start ^ (at & -_BLOCK)
+        tried = (x ^ letters[0] for x in self.free) if far < near else (at & _BLOCK - 1,)
+        for low in tried:
+            if not self.bases[low] and not any(self.taken[low ^ c] for c in letters):
+                self.bases[low] = 1
+                for c in letters:
+                    self.taken[low ^ c] = 1
+                self.free = [x for x in self.free if not self.taken[x]]
+                return self.start | low
+        return None
+
+
+def trie_units(values: dict[bytes, int], near: int = _NEAR) -> np.ndarray:
+    """A double array of keys and values.
+
+    A node's letters go to the first of the last _OPEN blocks in which they fit, else to a new one, so the work grows
+    with the keys alone. Where they are `near` or farther away, their base has the node's place in its block.
+    """
+    keys = sorted(values)
+    units, blocks = array("I", bytes(4 * _BLOCK)), [_Block(0)]
+    todo = [(0, len(keys), 0, 0)] if keys else []
     while todo:
-        key, place = todo.pop()
-        letters = sorted(children.get(key, ())) + [0] * (key in values)
-        if not letters:
-            continue
-        while free in used:
-            free += 1
-        base = free ^ letters[0]
-        slot = free
-        while base in bases or not base or any(base ^ c in used for c in letters):
-            slot += 1
-            base = slot ^ letters[0]
-        bases.add(base)
-        units += [0] * max(0, (base | 255) + 1 - len(units))
+        lo, hi, depth, place = todo.pop()
+        leaf = len(keys[lo]) == depth
+        below, k = [], lo + leaf
+        while k < hi:
+            # Keys are sorted: those that go on with one letter stand together.
+            c, begin = keys[k][depth], k
+            while k < hi and keys[k][depth] == c:
+                k += 1
+            below.append((c, begin, k))
+        letters = [c for c, _, _ in below] + [0] * leaf
+        base = next((b for x in blocks if (b := x.place(letters, place, near)) is not None), None)
+        if base is None:
+            blocks = [x for x in blocks if x.free][1 - _OPEN :] + [_Block(len(units))]
+            units.frombytes(bytes(4 * _BLOCK))
+            base = blocks[-1].place(letters, place, near)
         jump = base ^ place
-        if jump >= 1 << 21:
-            raise ValueError("the trie is too large for this writer")
-        units[place] |= jump << 10 | (key in values) << 8
-        for c in letters:
-            used.add(base ^ c)
-            if c:
-                units[base ^ c] = c
-                todo.append((key + bytes([c]), base ^ c))
-            else:
-                units[base] = 1 << 31 | values[key]
+        if jump >= 1 << 29:
+            raise ValueError("the trie is larger than the format can hold")
+        units[place] |= (jump << 10 if jump < near else jump << 2 | 1 << 9) | leaf << 8
+        if leaf:
+            units[base] = 1 << 31 | values[keys[lo]]
+        for c, begin, end in below:
+            units[base ^ c] = c
+            todo.append((begin, end, depth + 1, base ^ c))
     return np.array(units, "<u4")
 
 
@@ -182,7 +221,7 @@ def write(d: Dictionary, system_pos: int = 0, created: int | None = None) -> byt
     for k, w in enumerate(d.words):
         if w.headword is not None and w.left >= 0:
             ids[w.headword.encode()].append(k)
-    table, values = b"", {}
+    table, values = bytearray(), {}
     for key in sorted(ids):
         values[key] = len(table)
         table += ints(ids[key])

@@ -16,6 +16,19 @@ def test_trie():
     assert binary.trie_keys(binary.trie_units({})) == []
 
 
+def test_trie_of_many_blocks():
+    """Letters far from their node, and the empty key of a node, are found again; so are keys that begin with others."""
+    rng = random.Random(1)
+    keys = {bytes(rng.choices(range(1, 256), k=rng.randint(1, 5))): k for k in range(3000)} | {b"a" * k: 5000 + k for k in range(1, 300)}
+    for near in (256, 1024, 1 << 21):
+        units = binary.trie_units(keys, near)
+        assert binary.trie_keys(units) == sorted(keys.items())
+        inner = units[units < 1 << 31]
+        assert bool((inner >> 9 & 1).any()) == (near < 1 << 21)
+    # Few units stay empty.
+    assert len(units) < 1.2 * len({k[:n] for k in keys for n in range(len(k) + 1)} | {(k,) for k in keys})
+
+
 def test_round_trip(spark, tmp_path):
     d = sample.system()
     data = binary.write(d, created=12345)
