@@ -36,6 +36,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles of a Jaccard similarity of 0.8 or more.
 
+    SimHash fingerprints within two bits are compared first; what they leave apart is searched by its shingles.
     The smallest doc_id of a group stays. Texts of fewer words are one shingle; null and empty texts have none and
     are alike; repeated rows are copies; other columns stay; an empty table gives one.
     """

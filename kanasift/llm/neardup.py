@@ -1,9 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash bands, every link verified.
-
-Texts that share one of BANDS keys, each of ROWS minima, are compared by their shingles; two texts of
-similarity 0.8 miss all keys with a probability of 5e-8. A key that many different texts share would give
-all pairs of its group. Such texts are instead joined by the prefix filter, which is exact: shingles are
-ordered from rare to frequent, as counted in a table of bounded size, and similar texts have a shingle in common
+"""Near copies by SimHash and the Jaccard similarity of word shingles, every link verified.
+
+SimHash comes first: texts whose fingerprints are within two bits are candidates (simhash.links), are compared by
+their shingles, and make components. No number of bits gives all texts of a similarity of 0.8, so what is farther
+apart comes after, among texts of different components only: texts that share one of BANDS MinHash keys, each of
+ROWS minima, are compared as well; two texts of similarity 0.8 miss all keys with a probability of 5e-8. A key that
+many different texts share would give all pairs of its group. Such texts are instead joined by the prefix filter,
+which is exact: shingles are ordered from rare to frequent, as counted in a table of bounded size, and similar texts have a shingle in common
 near the start of that order, whatever the order. In a large bucket of the prefix filter, all are compared with
 one leader, the one of the most frequent shingles, and only those that are not similar to it with the others: what
 is linked to the leader is in its component already.
@@ -18,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import HOT_KEYS, join_by_key, salted_join, written
+from . import simhash
+from ._shared import HOT_KEYS, drop_written, join_by_key, salted_join, written
 from .components import components
-from .simhash import keep_smallest
 
 SIMILARITY, WIDTH = 0.8, 5
 BANDS, ROWS = 32, 4
@@ -134,8 +136,8 @@ def _levels(sets: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(x, node, n, at, centre): the elements of each set that come first, rare ones before frequent ones, as many as
-    similar sets must share one of; those that no other set can have are left out. centre is the set's mean level.
+    """(x, node, root, n, at, centre): the elements of each set that come first, rare ones before frequent ones, as many
+    as similar sets must share one of; those that no other set can have are left out. centre is the set's mean level.
 
     Any one order of all elements gives all links. That of their levels, then their hashes, is made in each task.
     """
@@ -144,61 +146,91 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = [(np.zeros(0, np.int64),) * 5]
-            for node, n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            out = [(np.zeros(0, np.int64),) * 6]
+            for node, root, n, s in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
                 x = s.values.to_numpy(zero_copy_only=False)
                 level = sent.value[_slots(s, bits)]
                 first = np.lexsort((x, level))[: n - ceil(similarity * n - 1e-9) + 1]
                 at = np.flatnonzero(level[first])
-                out.append((x[first[at]], np.full(len(at), node), np.full(len(at), n), at, np.full(len(at), int(1000 * level.mean()))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["x", "node", "n", "at", "centre"])
+                out.append((x[first[at]], np.full(len(at), node), np.full(len(at), root), np.full(len(at), n), at, np.full(len(at), int(1000 * level.mean()))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["x", "node", "root", "n", "at", "centre"])
 
-    return sets.select("node", "n", "s").mapInArrow(run, "x long, node long, n long, at long, centre long")
+    return sets.select("node", "root", "n", "s").mapInArrow(run, "x long, node long, root long, n long, at long, centre long")
 
 
 def prefix_links(sets: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
-    """(u, v) by which all similar sets (node, n, s) reach each other, by the prefix filter."""
+    """(u, v) by which all similar sets (node, root, n, s) reach each other, by the prefix filter; those of one root
+    are linked already and are not compared."""
     first = written(_prefixes(sets, similarity), "prefixes")
-    size = first.groupBy("x").agg(F.count("*").alias("m"), F.max(F.struct("centre", "node")).alias("leader")).where("m > 1")
-    size = written(size.select("x", "m", F.col("leader.node").alias("leader")), "prefix_sizes")
-    u = lambda d: d.select("x", *[c for c in d.columns if c == "salt"], F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"))
-    v = lambda d: d.select("x", *[c for c in d.columns if c == "salt"], F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"))
+    size = first.groupBy("x").agg(F.count("*").alias("m"), F.max(F.struct("centre", "node", "root")).alias("leader")).where("m > 1")
+    size = written(size.select("x", "m", F.col("leader.node").alias("leader"), F.col("leader.root").alias("of")), "prefix_sizes")
+    u = lambda d: d.select("x", *[c for c in d.columns if c == "salt"], F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("at").alias("iu"))
+    v = lambda d: d.select("x", *[c for c in d.columns if c == "salt"], F.col("node").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("at").alias("iv"))
     # At the first element in common, what is left of both sets bounds their overlap.
     near = F.least(F.col("nu") - F.col("iu"), F.col("nv") - F.col("iv")) * (1 + similarity) >= similarity * (F.col("nu") + F.col("nv")) - 1e-9
+    near = near & (F.col("ru") != F.col("rv"))
     few = first.join(size.where(F.col("m") <= bucket).select("x"), "x", "left_semi")
     pairs = u(few).join(v(few), "x").where(near & (F.col("u") < F.col("v"))).select("u", "v").distinct()
     links = _verified(pairs, sets, similarity)
-    large = written(size.where(F.col("m") > bucket).select("x", "leader"), "large")
+    large = written(size.where(F.col("m") > bucket).select("x", "leader", "of"), "large")
     if large.limit(1).count():
         many = written(first.join(F.broadcast(large) if large.count() <= 10_000 else large, "x"), "members")
-        stars = _verified(many.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), sets, similarity)
+        stars = _verified(many.where("root != of").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), sets, similarity)
         stars = written(stars, "stars")
         # u and v as columns of the members: the leader and the member that it is similar to.
         linked = stars.select(F.col("u").alias("leader"), F.col("v").alias("node"))
-        strays = written(many.where("node != leader").join(linked, ["leader", "node"], "left_anti"), "strays")
+        strays = written(many.where("root != of").join(linked, ["leader", "node"], "left_anti"), "strays")
         salted = many.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
         each = strays.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        rest = u(each).join(v(salted), ["x", "salt"]).where(near & (F.col("u") != F.col("v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        rest = u(each).join(v(salted), ["x", "salt"]).where(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = links.unionByName(stars).unionByName(_verified(rest, sets, similarity))
     return links
 
 
+def simhash_pairs(fps: DataFrame) -> DataFrame:
+    """(u, v): texts (node, fp) to be compared, for all whose fingerprints are equal or within simhash.links' two bits.
+
+    The smallest node of a fingerprint stands for it. Pairs grow with the texts: u may be in many of them, v in few.
+    """
+    each = written(fps.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("__n")), "fingerprints")
+    total = fps.count()
+    equal = join_by_key(fps.withColumnRenamed("node", "v"), each.select("fp", F.col("node").alias("u")), "fp", each.select("fp", "__n"), total).where("u != v")
+    near = simhash.links(each.select("fp")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    near = written(near, "near")
+    counts = near.groupBy("a").agg(F.count("*").alias("__n"))
+    near = join_by_key(near, each.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a", counts, near.count())
+    return equal.select("u", "v").unionByName(near.join(each.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v"))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (node, ..) with the root of each node; nodes without links are their own."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def links(texts: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
     """(u long, v long) so that similar texts reach each other; texts: (node long, text), equal rows alike."""
-    keys = _arrays(texts, lambda t: band_keys(shingles(t, width)), "keys")
-    asked = written(keys.select("node", F.explode("keys").alias("key")).distinct(), "bands")
-    size = written(asked.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "band_sizes")
-    cold = written(asked.join(size.where(F.col("m") <= bucket).select("key"), "key", "left_semi"), "cold")
-    hot = written(asked.join(size.where(F.col("m") > bucket).select("key"), "key", "left_semi").select("node").distinct(), "hot")
-    met = cold.select("node").unionByName(hot).distinct()
+    # A text's fingerprint stands before its keys, so texts are read once for both.
+    keys = _arrays(texts, lambda t: np.r_[np.array([simhash.fingerprint(t)], np.int64), band_keys(shingles(t, width))], "keys")
+    asked = written(keys.select("node", F.posexplode("keys").alias("at", "key")).select("node", (F.col("at") == 0).alias("fp"), "key").distinct(), "bands")
+    near = written(simhash_pairs(written(asked.where("fp and node != 0").select("node", F.col("key").alias("fp")), "fps")), "near")
+    asked_keys = asked.where("not fp").select("node", "key")
+    size = written(asked_keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "band_sizes")
+    cold = written(asked_keys.join(size.where(F.col("m") <= bucket).select("key"), "key", "left_semi"), "cold")
+    hot = written(asked_keys.join(size.where(F.col("m") > bucket).select("key"), "key", "left_semi").select("node").distinct(), "hot")
+    drop_written(asked)
+    met = cold.select("node").unionByName(hot).unionByName(near.select(F.col("u").alias("node"))).unionByName(near.select(F.col("v").alias("node"))).distinct()
     # One text of each hash is dealt out, so a text with many copies is no hot key.
     one = texts.groupBy("node").agg(F.first("text").alias("text")).join(met.hint("merge"), "node", "left_semi")
     sets = _arrays(one, lambda t: shingles(t, width), "s").select("node", F.size("s").alias("n"), "s")
     sets = written(sets, "sets")
-    pairs = cold.select("key", F.col("node").alias("u")).join(cold.select("key", F.col("node").alias("v")), "key").where("u < v").select("u", "v").distinct()
-    out = _verified(pairs, sets, similarity)
+    out = written(_verified(near, sets, similarity), "simhash_links")
+    roots = written(components(out).select(F.col("u").alias("node"), "root"), "simhash_roots")
+    side = _rooted(cold, roots)
+    a, b = (side.select("key", F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
+    pairs = a.join(b, "key").where("u < v and ru != rv").select("u", "v").distinct()
+    out = out.unionByName(_verified(pairs, sets, similarity))
     if hot.limit(1).count():
-        out = out.unionByName(prefix_links(written(sets.join(hot, "node", "left_semi"), "hot_sets"), similarity, bucket))
+        out = out.unionByName(prefix_links(written(_rooted(sets.join(hot, "node", "left_semi"), roots), "hot_sets"), similarity, bucket))
     return out.distinct()
 
 
@@ -222,4 +254,4 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = WI
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest doc_id, once if its doc_id is repeated."""
-    return keep_smallest(docs, near_copies(docs, similarity))
+    return simhash.keep_smallest(docs, near_copies(docs, similarity))

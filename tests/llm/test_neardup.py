@@ -4,7 +4,7 @@ from itertools import combinations
 import corpus_pipeline
 import pytest
 
-from kanasift.llm import neardup
+from kanasift.llm import neardup, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -80,3 +80,21 @@ def test_repeats_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (5, "d e f g")], DOCS)
     assert sorted(r[0] for r in neardup.keep_first(rows).collect()) == [1, 5]
     assert neardup.keep_first(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_simhash_comes_first(spark, monkeypatch):
+    """The stage compares all texts within two bits; those that are similar make components before any other search."""
+    rng, asked = random.Random(31), []
+    texts = {k: " ".join(rng.choices([f"w{k}" for k in range(3000)], k=1500)) for k in range(12)}
+    texts |= {100 + k: edited(rng, texts[k % 12], 1) for k in range(36)}
+    fps = {k: simhash.fingerprint(t) for k, t in texts.items()}
+    near = [(a, b) for a, b in combinations(sorted(fps), 2) if bin((fps[a] ^ fps[b]) & (1 << 64) - 1).count("1") <= 2]
+    rows = [(k, fps[k]) for k in fps] + [(500, fps[0]), (501, fps[0])]
+    links = [(r["u"], r["v"]) for r in neardup.simhash_pairs(spark.createDataFrame(rows, "node long, fp long")).collect()]
+    pairs = {tuple(sorted(p)) for p in links}
+    assert len(near) > 12 and {(a, b) for a, b in near if fps[a] != fps[b]} <= {(min(a, b), max(a, b)) for u, v in pairs for a in fps for b in fps if fps[a] == fps.get(u) and fps[b] == fps.get(v)}
+    assert {(0, 500), (0, 501)} <= pairs
+    whole = neardup.simhash_pairs
+    monkeypatch.setattr(neardup, "simhash_pairs", lambda d: asked.append(whole(d)) or asked[-1])
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(list(texts.items()), DOCS), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(12)) and asked
