@@ -98,3 +98,16 @@ def test_simhash_comes_first(spark, monkeypatch):
     monkeypatch.setattr(neardup, "simhash_pairs", lambda d: asked.append(whole(d)) or asked[-1])
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(list(texts.items()), DOCS), "")
     assert sorted(r["doc_id"] for r in out.collect()) == list(range(12)) and asked
+
+
+def test_large_groups_with_components_of_simhash(spark):
+    """Groups of long texts, many of them within two bits and others far apart, by the prefix filter."""
+    rng = random.Random(77)
+    some = lambda n: " ".join(rng.choices([f"w{k}" for k in range(2000)], k=n))
+    bases = [some(600), some(500)]
+    texts = [edited(rng, b, rng.choice([0, 1, 1, 2, 3, 8, 15, 25, 40])) for b in bases for _ in range(40)] + [some(200) for _ in range(10)]
+    texts = dict(zip(rng.sample(range(1000), len(texts)), texts, strict=True))
+    fps = [simhash.fingerprint(t) for t in texts.values()]
+    assert sum(bin((a ^ b) & (1 << 64) - 1).count("1") <= 2 for a, b in combinations(fps, 2)) > 50
+    out = {r["doc_id"]: r["component_id"] for r in neardup.near_copies(spark.createDataFrame(list(texts.items()), DOCS), bucket=4).collect()}
+    assert out == plain_components(texts)
