@@ -21,10 +21,12 @@ TOKENS = {
 MORE = {"mod2orig": "array<int>"}
 SENTENCES = {"sent_id": "int", "sent_begin": "int", "original": "string", "modified": "string", "mod2orig": "array<int>", "path_cost": "int"}
 NORMALIZED = {"modified": "string", "mod2orig": "array<int>", "cats": "array<int>", "can_bow": "array<boolean>"}
+#: Of normalized texts when asked for: how many of their characters may begin a word.
+FIGURES = {"n_bow": "bigint"}
 #: Distinct short texts of a task whose analysis is kept for their repeats.
 REMEMBERED = 2000
-#: Rows that leave a task at once.
-ROWS = 20_000
+#: Rows that leave a task at once, and characters and elements of arrays in them; a row that has more leaves by itself.
+ROWS, VALUES = 20_000, 1 << 20
 
 
 class Closed(RuntimeError):
@@ -134,14 +136,15 @@ class Engine:
         if clash:
             raise ValueError(f"columns of documents and of the result have the same names: {sorted(set(clash))}")
         width, target = len(schema.fields), _arrow(out)
+        wide = [k for k, f in enumerate(schema.fields) if isinstance(f.dataType, (T.StringType, T.ArrayType))]
 
         def run(batches):
             parts, known = sent.value, {}
             for b in batches:
                 # Columns that go along are taken by row number, so their values are never copied through Python; the
                 # text is not among them.
-                along = [b.column(k) for k in range(b.num_columns - 1)]
-                at, columns, errors = [], [[] for _ in range(width)], []
+                *along, texts = b.columns
+                at, columns, errors, held = [], [[] for _ in range(width)], [], 0
 
                 def flush():
                     places = pa.array(at, pa.int64())
@@ -153,7 +156,7 @@ class Engine:
                     return pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(made, target, strict=True)], schema=target)
 
                 for k in range(b.num_rows):
-                    t = b.column(b.num_columns - 1)[k].as_py() or ""
+                    t = texts[k].as_py() or ""
                     short, error = len(t) <= 200, None
                     got = known.get(t) if short else None
                     if got is None:
@@ -177,8 +180,11 @@ class Engine:
                         errors += [error] * n
                         for c, x in zip(columns, some, strict=True):
                             c += x
-                        if len(at) >= ROWS:
+                        for c in wide:
+                            held += sum([len(v) for v in some[c] if v is not None])
+                        if len(at) >= ROWS or held >= VALUES:
                             yield flush()
+                            held = 0
                 if at:
                     yield flush()
 
@@ -227,19 +233,17 @@ class Engine:
         return self._over_texts(df, text, schema, per_text, keep, on_error)
 
     def normalize(self, df: DataFrame, text: str = "text", keep: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
-        """A row for each text: its normalized form, where each of its characters comes from, categories, word starts; columns picks some."""
+        """A row for each text: its normalized form, where each of its characters comes from, categories, word starts;
+        columns picks some, or figures of FIGURES, for which no arrays leave the task."""
         names = columns or list(NORMALIZED)
-        schema = T._parse_datatype_string(", ".join(f"{c} {NORMALIZED[c]}" for c in names))
+        kinds = NORMALIZED | FIGURES
+        schema = T._parse_datatype_string(", ".join(f"{c} {kinds[c]}" for c in names))
+        make = {"modified": lambda d, x: d.text, "mod2orig": lambda d, x: d.offsets, "cats": lambda d, x: x.categories, "can_bow": lambda d, x: x.begins, "n_bow": lambda d, x: int(x.begins.sum())}
 
         def per_text(parts, t):
             draft = core.prepare(parts, t)
-            figures = None
-            out = []
-            for c in names:
-                if c in ("cats", "can_bow"):
-                    figures = figures or core.Text(t, draft.text, [], parts.table)
-                out.append([draft.text if c == "modified" else draft.source if c == "mod2orig" else figures.cats if c == "cats" else figures.bow])
-            yield out
+            figures = core.Text(t, draft.text, [], parts.table)
+            yield [[make[c](draft, figures)] for c in names]
 
         keep = [c for c in df.columns if c != text] if keep is None else keep
         return self._over_texts(df, text, schema, per_text, keep, "raise")

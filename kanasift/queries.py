@@ -177,7 +177,7 @@ def category_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bow_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _characters(spark, sf_dir).select("doc_id", F.size(F.filter("can_bow", lambda x: x)).cast("long").alias("n_bow"))
+    return engine(spark, "runs").normalize(_documents(spark, sf_dir), keep=["doc_id"], columns=["n_bow"])
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
