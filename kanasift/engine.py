@@ -21,8 +21,9 @@ TOKENS = {
 MORE = {"mod2orig": "array<int>"}
 SENTENCES = {"sent_id": "int", "sent_begin": "int", "original": "string", "modified": "string", "mod2orig": "array<int>", "path_cost": "int"}
 NORMALIZED = {"modified": "string", "mod2orig": "array<int>", "cats": "array<int>", "can_bow": "array<boolean>"}
-#: Of normalized texts when asked for: how many of their characters may begin a word.
-FIGURES = {"n_bow": "bigint"}
+#: Of normalized texts when asked for: how many of their characters may begin a word, and how many runs there are of
+#: characters that each share a category with the one before.
+FIGURES = {"n_bow": "bigint", "n_runs": "bigint"}
 #: Distinct short texts of a task whose analysis is kept for their repeats.
 REMEMBERED = 2000
 #: Rows that leave a task at once, and characters and elements of arrays in them; a row that has more leaves by itself.
@@ -238,7 +239,7 @@ class Engine:
         names = columns or list(NORMALIZED)
         kinds = NORMALIZED | FIGURES
         schema = T._parse_datatype_string(", ".join(f"{c} {kinds[c]}" for c in names))
-        make = {"modified": lambda d, x: d.text, "mod2orig": lambda d, x: d.offsets, "cats": lambda d, x: x.categories, "can_bow": lambda d, x: x.begins, "n_bow": lambda d, x: int(x.begins.sum())}
+        make = {"modified": lambda d, x: d.text, "mod2orig": lambda d, x: d.offsets, "cats": lambda d, x: x.categories, "can_bow": lambda d, x: x.begins, "n_bow": lambda d, x: int(x.begins.sum()), "n_runs": lambda d, x: x.n_runs}
 
         def per_text(parts, t):
             draft = core.prepare(parts, t)

@@ -166,14 +166,8 @@ def char_category_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cats.groupBy("cats").agg(F.sum("n").alias("n_chars"), F.count("*").alias("n_code_points"))
 
 
-def _characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, "runs").normalize(_documents(spark, sf_dir), keep=["doc_id"])
-
-
 def category_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _characters(spark, sf_dir)
-    pairs = F.zip_with(F.slice("cats", 1, F.greatest(F.size("cats") - 1, F.lit(0))), F.slice("cats", 2, F.greatest(F.size("cats"), F.lit(1))), lambda a, b: (a.bitwiseAND(b) == 0).cast("int"))
-    return rows.select("doc_id", (F.when(F.size("cats") > 0, 1).otherwise(0) + F.aggregate(pairs, F.lit(0), lambda s, x: s + x)).cast("long").alias("n_runs"))
+    return engine(spark, "runs").normalize(_documents(spark, sf_dir), keep=["doc_id"], columns=["n_runs"])
 
 
 def bow_positions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """What leaves a task at once, how work is dealt out and what is shuffled stay bounded as tables grow."""
 
+from itertools import pairwise
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
@@ -49,4 +51,9 @@ def test_figures_of_texts_equal_their_arrays(engine, spark):
     assert all(len(r["cats"]) == len(r["can_bow"]) == len(r["mod2orig"]) - 1 == len(r["modified"]) for r in rows.values())
     got = engine.normalize(df, columns=["n_bow"])
     assert {r["doc_id"]: r["n_bow"] for r in got.collect()} == {k: sum(r["can_bow"]) for k, r in rows.items()}
-    assert "can_bow" not in queries.bow_positions(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    got = engine.normalize(df, columns=["n_runs"])
+    runs = lambda c: sum(not a & b for a, b in pairwise(c)) + bool(c)
+    assert {r["doc_id"]: r["n_runs"] for r in got.collect()} == {k: runs(r["cats"]) for k, r in rows.items()}
+    for q in (queries.bow_positions, queries.category_runs):
+        plan = q(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "can_bow" not in plan and "cats" not in plan
