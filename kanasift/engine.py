@@ -24,6 +24,8 @@ NORMALIZED = {"modified": "string", "mod2orig": "array<int>", "cats": "array<int
 #: Of normalized texts when asked for: how many of their characters may begin a word, and how many runs there are of
 #: characters that each share a category with the one before.
 FIGURES = {"n_bow": "bigint", "n_runs": "bigint"}
+#: Of lattices: all as JSON, how many nodes there are with both ends, how many on the cheapest path without them.
+LATTICE = {"lattice": "string", "n_nodes": "bigint", "n_best": "bigint"}
 #: Distinct short texts of a task whose analysis is kept for their repeats.
 REMEMBERED = 2000
 #: Rows that leave a task at once, and characters and elements of arrays in them; a row that has more leaves by itself.
@@ -262,15 +264,21 @@ class Engine:
         keep = [c for c in df.columns if c != text] if keep is None else keep
         return self._over_texts(df, text, T._parse_datatype_string("sent_id int, formatted string"), per_text, keep, on_error)
 
-    def lattice(self, df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-        """A row for each text: its lattice and paths as JSON."""
+    def lattice(self, df: DataFrame, text: str = "text", keep: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+        """A row for each text: its lattice and paths as JSON; columns picks that or figures of LATTICE, which are taken
+        from the lattice itself."""
         import json
 
+        names = columns or ["lattice"]
+        schema = T._parse_datatype_string(", ".join(f"{c} {LATTICE[c]}" for c in names))
+
         def per_text(parts, t):
-            yield [[json.dumps(core.lattice_json(parts, t), ensure_ascii=False)]]
+            s = core.one_sentence(parts, t)
+            make = {"lattice": lambda: json.dumps(core.lattice_json(parts, t, s), ensure_ascii=False), "n_nodes": lambda: s.lattice.size() if s else 0, "n_best": lambda: s.lattice.length() if s else 0}
+            yield [[make[c]()] for c in names]
 
         keep = [c for c in df.columns if c != text] if keep is None else keep
-        return self._over_texts(df, text, T._parse_datatype_string("lattice string"), per_text, keep, "raise")
+        return self._over_texts(df, text, schema, per_text, keep, "raise")
 
     def resplit(self, tokens: DataFrame, mode: str, by: list[str] | None = None) -> DataFrame:
         """tokens (of mode C) in a finer mode, from the dictionary alone; C gives them back.

@@ -77,13 +77,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table's files that are one task's where only keys are moved, and texts are made of them behind.
+SHARE = 2 << 20
+
+
+def _size(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """df over all cores if it has less than a split for each of them: one row group is one task's, however many splits
     its file has, and analysis costs far more than moving so few texts. A larger df is left as it is read."""
     spark = df.sparkSession
     n = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(n) if size < n * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+    return df.repartition(n) if _size(df) < n * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+
+
+def _keys(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of orders, the first a key, in as many tasks as its size asks for: its files are small for the analysis
+    that is made of them, so tasks by splits, or one a core, would each take longer the larger the table is."""
+    orders = _table(spark, sf_dir, "orders")
+    n = max(spark.sparkContext.defaultParallelism, -(-_size(orders) // SHARE))
+    return orders.select(*columns).repartition(n, columns[0])
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +107,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """doc_id and text of each order: an expression of its key, that Spark and DuckDB understand alike."""
-    return _spread(_table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{sql} as text"))
+    return _keys(spark, sf_dir, "o_orderkey", "o_custkey").selectExpr("o_orderkey as doc_id", f"{sql} as text")
 
 
 def _pick(texts, n: str) -> str:
@@ -286,9 +301,7 @@ def estimated_user_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lattice_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = engine(spark, "plain").lattice(_derived(spark, sf_dir, TEXTS))
-    nodes = F.from_json("lattice", "lattice array<struct<wordId:int>>, bestPath array<struct<wordId:int>>")
-    return out.select("doc_id", nodes.alias("x")).select("doc_id", F.size("x.lattice").cast("long").alias("n_nodes"), F.size("x.bestPath").cast("long").alias("n_best"))
+    return engine(spark, "plain").lattice(_derived(spark, sf_dir, TEXTS), columns=["n_nodes", "n_best"])
 
 
 def analyze_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +325,7 @@ def oov_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit("京都xag-"), F.col("o_orderkey").cast("string"), F.lit("東京"))
-    return _spread(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), code.alias("text")))
+    return _keys(spark, sf_dir, "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), code.alias("text"))
 
 
 def oov_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,7 +349,7 @@ def _kanji(n: F.Column) -> F.Column:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(_table(spark, sf_dir, "orders").select("o_orderkey"))
+    return _keys(spark, sf_dir, "o_orderkey")
 
 
 def numeral_kanji(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """What leaves a task at once, how work is dealt out and what is shuffled stay bounded as tables grow."""
 
+import json
 from itertools import pairwise
 
 import pyarrow as pa
@@ -57,3 +58,25 @@ def test_figures_of_texts_equal_their_arrays(engine, spark):
     for q in (queries.bow_positions, queries.category_runs):
         plan = q(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert "can_bow" not in plan and "cats" not in plan
+
+
+@pytest.mark.parametrize("kind", ["plain", "numbers", "katakana", "runs"])
+def test_figures_of_lattices_equal_their_json(spark, kind):
+    texts = [None, "", "東京都に行った", "二三に東京都", "カカカアイに12,000", "東" * 200 + "x" * 200, "ab cd " * 80]
+    # The templates of this kind are for Latin letters only.
+    texts = [t for t in texts if kind != "runs" or not t or t.isascii()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    e = queries.engine(spark, kind)
+    rows = {r["doc_id"]: r for r in e.lattice(df, columns=["n_nodes", "lattice", "n_best"]).collect()}
+    whole = {r["doc_id"]: json.loads(r["lattice"]) for r in e.lattice(df).collect()}
+    assert {k: (r["n_nodes"], r["n_best"], json.loads(r["lattice"])) for k, r in rows.items()} == {k: (len(x["lattice"]), len(x["bestPath"]), x) for k, x in whole.items()}
+    alone = {r["doc_id"]: (r["n_nodes"], r["n_best"]) for r in e.lattice(df, columns=["n_nodes", "n_best"]).collect()}
+    assert alone == {k: (r["n_nodes"], r["n_best"]) for k, r in rows.items()}
+
+
+def test_tasks_are_as_many_as_the_table_asks_for(spark, monkeypatch):
+    few = queries.lattice_nodes(spark, DATA).rdd.getNumPartitions()
+    monkeypatch.setattr(queries, "SHARE", 1000)
+    many = queries.lattice_nodes(spark, DATA)
+    assert few == spark.sparkContext.defaultParallelism and many.rdd.getNumPartitions() > 30
+    assert many.count() == spark.read.parquet(f"{DATA}/orders.parquet").count()
