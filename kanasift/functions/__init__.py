@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from ..operators.numeral import normalize_numeral as _normalize
 
+#: Words of a lexicon that are sent to all tasks; of more, those that texts ask for are met by a shuffle.
+SENT = 200_000
+
 
 def pos_matches(*patterns: tuple[str | None, ...], pos: str | Column = "pos") -> Column:
     """Whether a part of speech fits one of some patterns: parts from the first on, None standing for any."""
@@ -148,12 +151,13 @@ def prefix_matches(df: DataFrame, lexicon: DataFrame, text: str = "text", chunk:
     """A row for each lexicon word that begins at each position of each text: df's other columns, the word's, begin and end.
 
     A text is cut into chunks that overlap by the longest headword, so rows that are dealt out stay as short as
-    words. Only lengths that some headword with the same first character has are looked up. The lexicon's tables
-    are joined as Spark sees fit by their sizes.
+    words. Only lengths that some headword with the same first character has are looked up. Spark does not know how
+    large a lexicon is, so its words are counted: up to SENT they are sent to all tasks, and nothing of the texts is
+    moved to where a frequent headword's are. Lengths are as many as first characters and always sent.
     """
     others = [F.col(f"`{c}`") for c in df.columns if c != text]
     words = lexicon.where("headword is not null and left_id >= 0")
-    longest = words.agg(F.max(F.length("headword"))).first()[0] or 0
+    n, longest = words.agg(F.count("*"), F.coalesce(F.max(F.length("headword")), F.lit(0))).first()
     first = words.groupBy(F.substring("headword", 1, 1).alias("__first")).agg(F.collect_set(F.length("headword")).alias("__sizes"))
     chars = df.select(*others, F.split(F.coalesce(F.col(text), F.lit("")), "").alias("__chars"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("__chars") - 1, F.lit(0)), F.lit(chunk))
@@ -161,9 +165,9 @@ def prefix_matches(df: DataFrame, lexicon: DataFrame, text: str = "text", chunk:
     parts = chars.select(*others, F.explode(cut).alias("__c"))
     at = parts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(chunk), F.length("__c.part")))).alias("__k")).where(F.length("__c.part") > 0)
     window = at.select(*others, (F.col("__c.at") + F.col("__k") - 1).alias("begin"), F.substring("__c.part", F.col("__k"), F.lit(longest)).alias("__w"))
-    asked = window.withColumn("__first", F.substring("__w", 1, 1)).join(first, "__first").select(*others, "begin", "__w", F.explode("__sizes").alias("__size")).where(F.col("__size") <= F.length("__w"))
+    asked = window.withColumn("__first", F.substring("__w", 1, 1)).join(F.broadcast(first), "__first").select(*others, "begin", "__w", F.explode("__sizes").alias("__size")).where(F.col("__size") <= F.length("__w"))
     asked = asked.select(*others, "begin", (F.col("begin") + F.col("__size")).alias("end"), F.substring("__w", F.lit(1), F.col("__size")).alias("headword"))
-    return asked.join(words, "headword")
+    return asked.join(F.broadcast(words) if n <= SENT else words, "headword")
 
 
 def dictionary_statistics(lexicon: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import types as T
 
 from kanasift import engine as E
+from kanasift import functions as K
 from kanasift import queries, sample
 from kanasift.engine import Engine
 
@@ -80,3 +81,17 @@ def test_tasks_are_as_many_as_the_table_asks_for(spark, monkeypatch):
     many = queries.lattice_nodes(spark, DATA)
     assert few == spark.sparkContext.defaultParallelism and many.rdd.getNumPartitions() > 30
     assert many.count() == spark.read.parquet(f"{DATA}/orders.parquet").count()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prefix_matches_move_no_texts(spark, monkeypatch):
+    few = queries.lexicon_prefix_matches(spark, DATA)
+    assert "SortMergeJoin" not in plan(few) and plan(few).count("BroadcastHashJoin") == 2
+    monkeypatch.setattr(K, "SENT", 5)
+    large = queries.lexicon_prefix_matches(spark, DATA)
+    assert plan(large).count("BroadcastHashJoin") == 1 and few.exceptAll(large).count() == large.exceptAll(few).count() == 0
+    none = spark.createDataFrame([(1, None, 0)], "word_no int, headword string, left_id int")
+    assert K.prefix_matches(spark.createDataFrame([(1, "東京")], "doc_id long, text string"), none).count() == 0
