@@ -78,7 +78,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of a table's files that are one task's where only keys are moved, and texts are made of them behind.
-SHARE = 2 << 20
+SHARE = 1 << 19
 
 
 def _size(df: DataFrame) -> int:
@@ -422,7 +422,8 @@ def dictionary_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def format_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.format_tokens(_tokens(spark, sf_dir, TEXTS), ["doc_id"], details=True).select("doc_id", "formatted")
+    columns = ["sent_id", "tok_id", "surface", "pos", "normalized_form", "dictionary_form", "reading_form", "is_oov", "dict_id", "synonym_group_ids"]
+    return K.format_tokens(_tokens(spark, sf_dir, TEXTS, columns=columns), ["doc_id"], details=True).select("doc_id", "formatted")
 
 
 #: Signs that become three characters each, two of them without width.

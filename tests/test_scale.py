@@ -95,3 +95,11 @@ def test_prefix_matches_move_no_texts(spark, monkeypatch):
     assert plan(large).count("BroadcastHashJoin") == 1 and few.exceptAll(large).count() == large.exceptAll(few).count() == 0
     none = spark.createDataFrame([(1, None, 0)], "word_no int, headword string, left_id int")
     assert K.prefix_matches(spark.createDataFrame([(1, "東京")], "doc_id long, text string"), none).count() == 0
+
+
+def test_stored_tokens_are_as_narrow_as_what_is_made_of_them(spark):
+    for q in (queries.format_tokens, queries.wakati):
+        made = plan(q(spark, DATA)).split("MapInArrow")[1].split("\n")[0]
+        assert "surface" in made and not any(c in made for c in ("begin_cp", "word_id", "mode", "sent_begin"))
+    # Half a MB of keys are a task's, so what it sorts by sentence fits its memory.
+    assert queries.SHARE <= 1 << 19
