@@ -96,8 +96,9 @@ def _spread(df: DataFrame) -> DataFrame:
 def _keys(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Columns of orders, the first a key, in as many tasks as its size asks for: its files are small for the analysis
     that is made of them, so tasks by splits, or one a core, would each take longer the larger the table is."""
-    orders = _table(spark, sf_dir, "orders")
-    n = max(spark.sparkContext.defaultParallelism, -(-_size(orders) // SHARE))
+    orders, cores = _table(spark, sf_dir, "orders"), spark.sparkContext.defaultParallelism
+    # As many for each core, so that none waits for others.
+    n = cores * max(1, -(-_size(orders) // (SHARE * cores)))
     return orders.select(*columns).repartition(n, columns[0])
 
 

@@ -1,6 +1,8 @@
 """What leaves a task at once, how work is dealt out and what is shuffled stay bounded as tables grow."""
 
 import json
+import random
+from dataclasses import replace
 from itertools import pairwise
 
 import pyarrow as pa
@@ -11,6 +13,7 @@ from kanasift import engine as E
 from kanasift import functions as K
 from kanasift import queries, sample
 from kanasift.engine import Engine
+from kanasift.operators import analyze as core
 
 DATA = "/root/testdata/sf0.001"
 ODD = [None, "", "a", "abあ1é 😀", "…", "a-b あア漢" * 60, "x" * 400, "\n"]
@@ -103,3 +106,35 @@ def test_stored_tokens_are_as_narrow_as_what_is_made_of_them(spark):
         assert "surface" in made and not any(c in made for c in ("begin_cp", "word_id", "mode", "sent_begin"))
     # Half a MB of keys are a task's, so what it sorts by sentence fits its memory.
     assert queries.SHARE <= 1 << 19
+
+
+def test_sentences_without_their_figures_equal_whole_ones(engine, spark):
+    words = ["な。な", "。", "東京都", "に行った", "京都（東。", "）", "…", "！？", "a.b", "か\n", "😀", "㈱", "徳島（とく）に", "「あ。」と"]
+    rng = random.Random(5)
+    rows = [(k, "".join(rng.choices(words, k=rng.randint(0, 30)))) for k in range(300)] + [(300, "東京。" * 700), (301, None), (302, "あ" * 5000 + "。" + "い" * 70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = engine.sentences(df).select("doc_id", "original", "sent_id", "sent_begin").collect()
+    made = engine.sentences(df, columns=["original", "sent_id", "sent_begin"]).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, made)) and len(made) > 1000
+
+
+def test_words_across_ends_are_those_of_all_prefixes(engine):
+    parts, rng = engine.parts, random.Random(6)
+    looked = []
+
+    class Slow(dict):
+        def get(self, *a):
+            looked.append(a)
+            return super().get(*a)
+
+    letters = "".join(sorted(parts.lookup.starts)) + "。a😀é"
+    for _ in range(400):
+        text = "".join(rng.choices(letters, k=rng.randint(1, 40)))
+        begin = rng.randrange(len(text))
+        crossed, end = core._crossing(parts, text, begin), rng.randint(begin, len(text))
+        want = any(len(text[k:end].encode()) <= 64 and any(stop > end or stop == end and end - k > 1 for stop, _ in parts.lookup.prefixes(text, k)) for k in range(end))
+        assert crossed(end - begin) == want
+    # A long text's end is looked at as far back as a headword goes, not 64 bytes.
+    parts = replace(parts, lookup=replace(parts.lookup, reach=Slow(parts.lookup.reach)))
+    core._crossing(parts, "ん" * 1000, 0)(1000)
+    assert len(looked) == parts.lookup.longest < 21
