@@ -340,21 +340,29 @@ class Engine:
             pick["tok_id"] = F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("int") - 1
         return x.select(*[pick[c].alias(c) if c in pick else F.col(c) for c in tokens.columns])
 
-    def register(self, name: str = "analyze") -> None:
-        """Registers analysis as a SQL table function: SELECT t.* FROM documents, LATERAL analyze(text, 'C') t."""
+    def register(self, name: str = "analyze", columns: list[str] | None = None) -> None:
+        """Registers analysis as a SQL table function: SELECT t.* FROM documents, LATERAL analyze(text, 'C') t.
+
+        columns picks the token columns that are made, as in analyze(): all but the mode, unless told.
+        """
         from pyspark.sql.functions import udtf
 
         sent = self.broadcast()
-        names = [c for c in TOKENS if c != "mode"]
+        names = columns or [c for c in TOKENS if c != "mode"]
+        kinds = TOKENS | MORE
+        # Values of arrays are to be lists.
+        lists = [k for k, c in enumerate(names) if kinds[c].startswith("array")]
 
         class Analyze:
             def eval(self, text, mode):
                 for i, s in enumerate(core.sentences(sent.value, text or "")):
-                    for row in zip(*_columns(s, i, mode, names), strict=True):
-                        yield tuple(list(x) if isinstance(x, tuple) else x for x in row)
+                    made = _columns(s, i, mode, names)
+                    for k in lists:
+                        made[k] = map(list, made[k])
+                    yield from zip(*made, strict=True)
 
         # "end" and the like are no names in SQL without quotes.
-        schema = ", ".join(f"`{c}` {TOKENS[c]}" for c in names)
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
         self.spark.udtf.register(name, udtf(Analyze, returnType=schema))
 
 

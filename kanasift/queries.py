@@ -306,7 +306,7 @@ def lattice_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyze_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine(spark, "plain").register("analyze")
+    engine(spark, "plain").register("analyze", columns=["tok_id", "surface", "normalized_form"])
     _derived(spark, sf_dir, TEXTS).createOrReplaceTempView("kanasift_texts")
     return spark.sql("select d.doc_id, t.tok_id, t.surface, t.normalized_form from kanasift_texts d, lateral analyze(d.text, 'C') t")
 

@@ -138,3 +138,14 @@ def test_words_across_ends_are_those_of_all_prefixes(engine):
     parts = replace(parts, lookup=replace(parts.lookup, reach=Slow(parts.lookup.reach)))
     core._crossing(parts, "ん" * 1000, 0)(1000)
     assert len(looked) == parts.lookup.longest < 21
+
+
+def test_table_function_makes_only_columns_asked_for(engine, spark):
+    spark.createDataFrame([(1, "東京都に行った。京都"), (2, None), (3, "")], "doc_id long, text string").createOrReplaceTempView("docs_of_scale")
+    engine.register("analyze_all")
+    engine.register("analyze_some", columns=["tok_id", "synonym_group_ids", "end"])
+    sql = "select d.doc_id, t.* from docs_of_scale d, lateral {}(d.text, 'C') t"
+    whole, some = spark.sql(sql.format("analyze_all")), spark.sql(sql.format("analyze_some"))
+    assert whole.columns == ["doc_id", *(c for c in E.TOKENS if c != "mode")] and some.columns == ["doc_id", "tok_id", "synonym_group_ids", "end"]
+    assert some.collect() == whole.select(*some.columns).collect() and some.count() == 6
+    assert "reading_form" not in plan(queries.analyze_in_sql(spark, DATA))
