@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions import SENT
 from .operators import analyze as core
 from .plans.config import Parts, Settings, assemble, dictionaries
 from .plans.dictionary import Dictionary
@@ -317,8 +320,18 @@ class Engine:
                     one = len(ids) == 1
                     rows.append((_signed(lookup.ids[place]), n, None if one else b, None if one else e, u.pos_id, list(lookup.pos[u.pos_id]), u.normalized, lookup.dictionary_form(p), u.reading, wid >> 28, _signed(wid), list(u.synonyms)))
         units = self.spark.createDataFrame(rows, "word_id int, u_n int, u_b int, u_e int, u_pos_id smallint, u_pos array<string>, u_norm string, u_form string, u_read string, u_dict int, u_word int, u_syn array<int>")
-        # As large as the dictionaries: Spark broadcasts it if it is small.
-        x = tokens.join(units, "word_id", "left")
+        keys = (by or [c for c in tokens.columns if c not in TOKENS and c not in MORE]) + (["sent_id"] if "sent_id" in tokens.columns else [])
+        if "tok_id" in tokens.columns:
+            from pyspark.sql import Window
+
+            # The token's number becomes that of its first unit among the finer tokens of its sentence. It is found
+            # before tokens become units, so that only tokens are moved to their sentences.
+            sizes = self.spark.createDataFrame(list(Counter(r[0] for r in rows).items()), "word_id int, __size int")
+            before = Window.partitionBy(*keys).orderBy("tok_id").rowsBetween(Window.unboundedPreceding, -1)
+            first = F.coalesce(F.sum(F.coalesce("__size", F.lit(1))).over(before), F.lit(0))
+            tokens = tokens.join(F.broadcast(sizes), "word_id", "left").withColumn("__first", first).select(*tokens.columns, "__first")
+        # As large as the dictionaries. Spark does not know how large that is, and frequent words are to move no tokens.
+        x = tokens.join(F.broadcast(units) if len(rows) <= SENT else units, "word_id", "left")
         moved = F.col("u_b").isNotNull()
         if "mod2orig" in tokens.columns:
             exact = lambda c: F.get("mod2orig", F.least(F.col(c), F.size("mod2orig") - 1))
@@ -331,14 +344,9 @@ class Engine:
         for c, u in (("pos_id", "u_pos_id"), ("pos", "u_pos"), ("normalized_form", "u_norm"), ("dictionary_form", "u_form"), ("reading_form", "u_read"), ("dict_id", "u_dict"), ("word_id", "u_word"), ("synonym_group_ids", "u_syn")):
             pick[c] = F.coalesce(u, c)
         pick["mode"] = F.lit(mode)
-        # The token's number becomes that of its first unit among the finer tokens of its sentence.
-        order = F.struct("tok_id", F.coalesce("u_n", F.lit(0)).alias("n"))
-        keys = (by or [c for c in tokens.columns if c not in TOKENS and c not in MORE]) + (["sent_id"] if "sent_id" in tokens.columns else [])
         if "tok_id" in tokens.columns:
-            from pyspark.sql import Window
-
-            pick["tok_id"] = F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("int") - 1
-        return x.select(*[pick[c].alias(c) if c in pick else F.col(c) for c in tokens.columns])
+            pick["tok_id"] = (F.col("__first") + F.coalesce("u_n", F.lit(0))).cast("int")
+        return x.select(*[pick[c].alias(c) if c in pick else F.col(c) for c in tokens.columns if c != "__first"])
 
     def register(self, name: str = "analyze", columns: list[str] | None = None) -> None:
         """Registers analysis as a SQL table function: SELECT t.* FROM documents, LATERAL analyze(text, 'C') t.

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators.numeral import normalize_numeral as _normalize
 
-#: Words of a lexicon that are sent to all tasks; of more, those that texts ask for are met by a shuffle.
+#: Words of a lexicon, or their units, that are sent to all tasks; more are met by a shuffle.
 SENT = 200_000
 
 

@@ -271,6 +271,11 @@ def _shown(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", *_SHOWN[:5], F.concat_ws(",", "pos").alias("pos"), "begin", "end")
 
 
+def _named(e: Engine, tokens: DataFrame) -> DataFrame:
+    """tokens with pos, found by pos_id."""
+    return tokens.join(F.broadcast(e.pos_table()), "pos_id")
+
+
 def tokens_mode_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_tokens(spark, sf_dir, TEXTS, columns=_SHOWN))
 
@@ -285,7 +290,9 @@ def tokens_mode_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resplit_stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, "plain")
-    return _shown(e.resplit(e.analyze(_derived(spark, sf_dir, TEXTS)), "A"))
+    # Parts of speech go along by their numbers: there are few of them, and six strings a token are most of it.
+    columns = ["sent_id", "word_id", "pos_id", *(c for c in _SHOWN if c != "pos")]
+    return _shown(_named(e, e.resplit(e.analyze(_derived(spark, sf_dir, TEXTS), columns=columns), "A")))
 
 
 def user_dictionary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

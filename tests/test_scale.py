@@ -149,3 +149,13 @@ def test_table_function_makes_only_columns_asked_for(engine, spark):
     assert whole.columns == ["doc_id", *(c for c in E.TOKENS if c != "mode")] and some.columns == ["doc_id", "tok_id", "synonym_group_ids", "end"]
     assert some.collect() == whole.select(*some.columns).collect() and some.count() == 6
     assert "reading_form" not in plan(queries.analyze_in_sql(spark, DATA))
+
+
+def test_resplit_moves_tokens_once_and_only_to_their_sentences(spark, monkeypatch):
+    few = queries.resplit_stored_tokens(spark, DATA)
+    assert "SortMergeJoin" not in plan(few) and plan(few).count("Exchange hashpartitioning(doc_id") == 1 and plan(few).count("Window [") == 1
+    made = plan(few).split("MapInArrow")[1].split("\n")[0]
+    assert "pos_id" in made and "begin_cp" not in made and "synonym_group_ids" not in made
+    monkeypatch.setattr(E, "SENT", 0)
+    large = queries.resplit_stored_tokens(spark, DATA)
+    assert few.count() == large.count() and few.exceptAll(large).count() == 0
